@@ -43,6 +43,9 @@ def running_totals(
     long format); it must be a subset of ``groups`` with few values by design, for the
     cuts of all axes form one small table. Empty means one scale for all groups.
     """
+    # Values without weight change nothing. Testing the weights also keeps them in the plan
+    # of the cuts, so all three uses below share one shuffle of ``counts``.
+    counts = counts.filter(sum((F.col(w) for w in weights), F.lit(0)) > 0)
     cut_expr = _cuts(F.col(value), blocks)
     if axis:
         # One row per axis value (a schema's column names) and blocks-1 doubles each;

@@ -91,7 +91,7 @@ def read_document(
 def read_map_document(spark: SparkSession, path: str, kind: T.MapType) -> DataFrame:
     """A JSON object of name -> struct as one map column; no row if it is missing."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
