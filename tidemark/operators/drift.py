@@ -201,11 +201,35 @@ def column_gate(df: DataFrame, column: str, limit: float = 0.15) -> DataFrame:
     )
 
 
+def gate_of_columns(columns: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
+    """Both test rows from one pass over a column table that holds the prediction."""
+    share = F.try_divide(F.count_if("detected"), F.count(F.lit(1)))
+    score = F.max(F.when(F.col("column") == spec.prediction, F.col("score")))
+
+    def row(name: str, score: Column, limit: float) -> Column:
+        status = F.when(score < limit, "SUCCESS").otherwise("FAIL")
+        return F.struct(
+            F.lit(name).alias("name"),
+            score.alias("score"),
+            F.lit(limit).alias("threshold"),
+            status.alias("status"),
+        )
+
+    both = F.array(
+        row("Share of Drifted Columns", share, spec.share_limit),
+        row("Drift per Column", score, spec.prediction_limit),
+    )
+    return columns.agg(both.alias("t")).select(F.inline("t"))
+
+
 def drift_gate(
     df: DataFrame, spec: DriftSpec = DriftSpec(), method: str = "default"
 ) -> DataFrame:
     """Both test rows of the gate."""
-    return share_gate(column_drift(df, spec, method), spec.share_limit).unionByName(
+    columns = column_drift(df, spec, method)
+    if method == "default":
+        return gate_of_columns(columns, spec)
+    return share_gate(columns, spec.share_limit).unionByName(
         column_gate(df, spec.prediction, spec.prediction_limit)
     )
 

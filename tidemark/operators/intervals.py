@@ -54,22 +54,14 @@ def consecutive_pairs(snapshots: DataFrame, spec: SnapshotSpec) -> DataFrame:
 
 
 def daily_totals(facts: DataFrame, spec: FactSpec) -> DataFrame:
-    """Facts summed per (entity, day): row count, per measure sum and known count."""
+    """Facts summed per (entity, day): row count, newest group, sum of each measure."""
     return facts.groupBy(F.col(spec.key), F.col(spec.date).alias("day")).agg(
         F.count(F.lit(1)).alias("facts"),
         F.max(spec.group).alias("group"),
-        *_sums(spec.measures),
+        *[F.sum(expr).alias(name) for name, expr in spec.measures.items()],
     )
 
 
-def _sums(measures: Mapping[str, Column]) -> list[Column]:
-    out = []
-    for name, expr in measures.items():
-        out.append(F.sum(expr).alias(name))
-        out.append(F.count(expr).alias(f"{name}_known"))
-    return out
-
-
 def interval_totals(
     snapshots: DataFrame,
     snapshot_spec: SnapshotSpec,
@@ -108,7 +100,7 @@ def interval_totals(
             F.max("_value").alias("cur_value"),
             F.count("_fact").alias("facts"),
             F.max("group").alias("group"),
-            *_sums({name: F.col(name) for name in names}),
+            *[F.sum(c).alias(c) for c in names],
         )
         .withColumn("_n", F.unix_date("day"))
     )
@@ -116,7 +108,9 @@ def interval_totals(
     by_day = Window.partitionBy(key).orderBy("_n")
     upto = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     long_ago = by_day.rangeBetween(Window.unboundedPreceding, -trailing_days)
-    running = ["facts", *names, *[f"{name}_known" for name in names]]
+    # A day's sum is null if nothing was known; counting those days tells an unknown
+    # interval total from a total of zero.
+    running = ["facts", *names, *[f"{c}_known" for c in names]]
     at_newest = F.when(F.col("facts") > 0, F.struct(F.col("group").alias("g")))
     totals = days.select(
         key,
@@ -124,7 +118,8 @@ def interval_totals(
         "cur_value",
         F.last(at_newest, ignorenulls=True).over(upto).alias("_newest"),
         "_n",
-        *[F.sum(c).over(upto).alias(c) for c in running],
+        *[F.sum(c).over(upto).alias(c) for c in ("facts", *names)],
+        *[F.count(c).over(upto).alias(f"{c}_known") for c in names],
         *[F.sum(c).over(long_ago).alias(f"{c}_old") for c in trailing],
     ).filter(F.col("cur_value").isNotNull())
 
@@ -202,20 +197,22 @@ def interval_totals_by_join(
     high: str,
     facts: DataFrame,
     spec: FactSpec,
+    block_days: int = 128,
 ) -> DataFrame:
-    """Totals per span through the join form; zero or null for spans without facts.
+    """Totals per distinct span through the join form; spans without facts are kept.
 
     For spans that are not consecutive snapshots. Facts are summed per day first, so an
-    entity brings at most one row per calendar day into the join.
+    entity brings at most one row per calendar day into the join. Blocks should be about
+    as long as the spans.
     """
+    ends = spans.select(key, low, high).distinct()
     days = daily_totals(facts, spec).withColumnRenamed(spec.key, key)
-    names = list(spec.measures)
-    rows = interval_join(spans, days, key, low, high, "day", how="left")
-    return rows.groupBy(key, low, high).agg(
-        F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"),
+    rows = interval_join(ends, days, key, low, high, "day", block_days=block_days)
+    totals = rows.groupBy(key, low, high).agg(
+        F.sum("facts").alias("facts"),
         F.max_by("group", "day").alias("group"),
-        *[
-            F.when(F.sum(f"{c}_known") > 0, F.sum(c)).alias(c)
-            for c in names
-        ],
+        *[F.sum(c).alias(c) for c in spec.measures],
+    )
+    return ends.join(totals, [key, low, high], "left").withColumn(
+        "facts", F.coalesce("facts", F.lit(0))
     )

@@ -11,10 +11,9 @@ from tidemark.functions.numeric import value_from_log
 from tidemark.operators.drift import (
     DriftSpec,
     column_drift,
-    column_gate,
     dataset_drift,
+    drift_gate,
     gate_summary,
-    share_gate,
     target_drift,
 )
 from tidemark.operators.split import SplitSpec, label_periods
@@ -47,10 +46,7 @@ def drift_audit(
     """All drift tables. The scored periods are staged once; scores are small."""
     periods = stage(with_predictions(label_periods(features, split), model), "drift_periods")
     configured = stage(column_drift(periods, spec, "configured"), "drift_columns")
-    gated = configured if gate_method == "configured" else column_drift(periods, spec, gate_method)
-    tests = share_gate(gated, spec.share_limit).unionByName(
-        column_gate(periods, spec.prediction, spec.prediction_limit)
-    )
+    tests = stage(drift_gate(periods, spec, gate_method), "drift_tests")
     return Audit(
         columns=configured,
         dataset=dataset_drift(configured, spec.share_limit),

@@ -11,7 +11,7 @@ from tidemark.config import Settings
 from tidemark.functions.dates import age_years, days_between, month_label
 from tidemark.functions.numeric import rate_per, whole_parts
 from tidemark.functions.text import capitalize, is_web_address
-from tidemark.operators.latest import newest_known, newest_two, value_at_newest
+from tidemark.operators.latest import newest_known, newest_per_key, newest_two, value_at_newest
 from tidemark.sources.raw import RawTables
 from tidemark.sources.readers import read_first_available, read_table
 from tidemark.sources.schemas import CATALOG, HISTORY, SERVING
@@ -145,9 +145,7 @@ def profiles_from_features(
     features: DataFrame, metadata: DataFrame | None = None, settings: Settings = Settings()
 ) -> DataFrame:
     """The serving columns, made from each entity's newest feature row and defaults."""
-    newest = features.groupBy("player_id").agg(
-        value_at_newest(F.struct(*[c for c in features.columns if c != "player_id"]), "valuation_date").alias("_r")
-    ).select("player_id", "_r.*")
+    newest = newest_per_key(features, ["player_id"], [F.col("valuation_date").desc()])
     if metadata is None:
         facts = newest.withColumns({"image_url": F.lit(""), "country_of_citizenship": F.lit("Unknown")})
     else:

@@ -309,7 +309,7 @@ def interval_left(spark: SparkSession, d: str) -> DataFrame:
         "player_id", "cur_date", "prev_date", days_before(F.col("prev_date"), 365).alias("year_start")
     )
     spec = feature_plans.fact_spec({"minutes": F.col("minutes_played")})
-    totals = interval_totals_by_join(years, "player_id", "year_start", "prev_date", raw.appearances, spec)
+    totals = interval_totals_by_join(years, "player_id", "year_start", "prev_date", raw.appearances, spec, 366)
     return (
         years.join(totals, ["player_id", "year_start", "prev_date"])
         .select("player_id", "cur_date", "prev_date", "facts", F.coalesce("minutes", F.lit(0)).alias("minutes"))
@@ -323,7 +323,8 @@ def feature_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("latest_window_stats", "SELECT * FROM stats")
 def latest_window_stats(spark: SparkSession, d: str) -> DataFrame:
-    return standin.stats(spark, d)
+    raw = standin.raw_tables(spark, d)
+    return feature_plans.latest_window_stats(standin.features(spark, d), raw, SETTINGS)
 
 
 # --- serving tables ------------------------------------------------------------------
@@ -331,7 +332,8 @@ def latest_window_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("active_catalog", "SELECT * FROM catalog")
 def active_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return serving_plans.by_value(standin.catalog(spark, d))
+    raw = standin.raw_tables(spark, d)
+    return serving_plans.by_value(serving_plans.active_catalog(raw, SETTINGS))
 
 
 @query("serving_features", "SELECT * FROM serving")

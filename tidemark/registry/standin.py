@@ -107,13 +107,20 @@ def clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_raw: dict[tuple[str, str], RawTables] = {}
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    return typed(
-        valuations(spark, sf_dir),
-        players(spark, sf_dir),
-        appearances(spark, sf_dir),
-        clubs(spark, sf_dir),
-    )
+    """The typed raw tables; only their plans are kept, no data."""
+    spot = (spark.sparkContext.applicationId, sf_dir)
+    if spot not in _raw:
+        _raw[spot] = typed(
+            valuations(spark, sf_dir),
+            players(spark, sf_dir),
+            appearances(spark, sf_dir),
+            clubs(spark, sf_dir),
+        )
+    return _raw[spot]
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,13 +160,18 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.features import latest_window_stats
 
-    return latest_window_stats(features(spark, sf_dir), raw_tables(spark, sf_dir), SETTINGS)
+    def make() -> DataFrame:
+        return latest_window_stats(features(spark, sf_dir), raw_tables(spark, sf_dir), SETTINGS)
+
+    return staged(spark, sf_dir, "stats", make)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.serving import active_catalog
 
-    return active_catalog(raw_tables(spark, sf_dir), SETTINGS)
+    return staged(
+        spark, sf_dir, "catalog", lambda: active_catalog(raw_tables(spark, sf_dir), SETTINGS)
+    )
 
 
 def serving(spark: SparkSession, sf_dir: str) -> DataFrame:
