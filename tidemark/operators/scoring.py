@@ -26,6 +26,7 @@ from tidemark.operators.quality import (
 )
 from tidemark.sources.schemas import SCENARIO_ROW
 
+# Fixed values of the answers.
 CURRENCY = "EUR"
 DEFAULT_VERSION = "LightGBM-v6"
 
@@ -94,12 +95,15 @@ def score_profiles(
     return scored, bad
 
 
+def unknown_ids(ids: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Wanted ids that have no profile."""
+    return ids.select("player_id").distinct().join(profiles, "player_id", "left_anti")
+
+
 def score_ids(
     ids: DataFrame, profiles: DataFrame, model, version: str = DEFAULT_VERSION
 ) -> tuple[DataFrame, DataFrame]:
     """(scored, unknown ids)."""
-    from tidemark.plans.serving import unknown_ids
-
     wanted = profiles.join(ids.select("player_id").distinct(), "player_id", "left_semi")
     return score_profiles(wanted, model, version)[0], unknown_ids(ids, profiles)
 

@@ -11,10 +11,13 @@ from tidemark.config import Settings
 from tidemark.functions.dates import age_years, days_between, month_label
 from tidemark.functions.numeric import rate_per, whole_parts
 from tidemark.functions.text import capitalize, is_web_address
+from tidemark.operators.history import history_from_features, snapshot_history
 from tidemark.operators.latest import newest_known, newest_per_key, newest_two, value_at_newest
-from tidemark.sources.raw import RawTables
-from tidemark.sources.readers import read_first_available, read_table
-from tidemark.sources.schemas import CATALOG, HISTORY, SERVING
+from tidemark.operators.quality import distinct_sorted
+from tidemark.operators.scoring import unknown_ids  # noqa: F401  (part of this module's surface)
+from tidemark.sources.raw import RawTables, typed_valuations
+from tidemark.sources.readers import read_first_available, read_table, read_wide_csv
+from tidemark.sources.schemas import CATALOG, HISTORY, SERVING, VALUATIONS
 
 # Names longer than a literal list should be are matched through a join instead.
 LITERAL_LIST_LIMIT = 200
@@ -215,10 +218,6 @@ def hydrate_profiles(
     return known.unionByName(fallback)
 
 
-def unknown_ids(ids: DataFrame, profiles: DataFrame) -> DataFrame:
-    return ids.select("player_id").distinct().join(profiles, "player_id", "left_anti")
-
-
 def catalog_from_features(
     features: DataFrame,
     active: Sequence[str] | DataFrame,
@@ -303,8 +302,6 @@ def find_by_name(catalog: DataFrame, name: str) -> DataFrame:
 
 
 def filter_options(catalog: DataFrame, column: str) -> DataFrame:
-    from tidemark.operators.quality import distinct_sorted
-
     return distinct_sorted(catalog, column)
 
 
@@ -370,20 +367,8 @@ def load_catalog(
 
 def load_history(spark: SparkSession, raw_history: str, features_path: str) -> DataFrame:
     """History from raw snapshots, else from features, else empty."""
-    from tidemark.operators.history import history_from_features, snapshot_history
-    from tidemark.sources.readers import read_wide_csv
-    from tidemark.sources.schemas import VALUATIONS
-    from tidemark.functions.casts import lenient_long, strict_date
-
     def from_raw(s: SparkSession) -> DataFrame:
-        rows = read_wide_csv(s, raw_history, VALUATIONS)
-        typed = rows.filter(F.col("market_value_in_eur").isNotNull()).select(
-            lenient_long(rows, "player_id").alias("player_id"),
-            strict_date(F.col("date")).alias("date"),
-            lenient_long(rows, "market_value_in_eur").alias("market_value_in_eur"),
-            "current_club_name",
-        )
-        return snapshot_history(typed)
+        return snapshot_history(typed_valuations(read_wide_csv(s, raw_history, VALUATIONS)))
 
     return read_first_available(
         spark,

@@ -434,6 +434,14 @@ def directory_all(spark: SparkSession, d: str) -> DataFrame:
     return serving_plans.directory(standin.catalog(spark, d))
 
 
+@query(
+    "find_by_name",
+    "SELECT player_id FROM catalog WHERE player_name = 'Customer#000000004'",
+)
+def find_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return serving_plans.find_by_name(standin.catalog(spark, d), "Customer#000000004")
+
+
 @query(
     "filter_options",
     "SELECT DISTINCT club_name FROM catalog WHERE club_name IS NOT NULL AND club_name <> ''",
@@ -481,6 +489,16 @@ def feature_history(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(history_from_features(standin.features(spark, d)), val_change_pct=6)
 
 
+@query(
+    "history_table",
+    f"""SELECT player_id, CAST(valuation_date AS VARCHAR) AS "Date", club_name AS "Club",
+               market_value_eur AS "Market Value", val_change_eur AS "Change", val_change_pct AS "Growth"
+        FROM ({_HISTORY.format(date="valuation_date", value="target_market_value_eur", table="features", group="club_name")})""",
+)
+def history_table(spark: SparkSession, d: str) -> DataFrame:
+    return serving_plans.history_table(feature_history(spark, d))
+
+
 # --- quality and splits --------------------------------------------------------------
 
 
@@ -843,9 +861,11 @@ GRID = (
                     """
     + _score_sql("target_market_value_eur", "(age_at_valuation + days / CAST(365.25 AS DOUBLE))", "rate")
     + """ AS x
-             FROM serving CROSS JOIN (VALUES ('steady', 180, ROUND_EVEN(8 * CAST(90 AS DOUBLE) / 1800, 4)),
-                                             ('breakthrough', 365, ROUND_EVEN(30 * CAST(90 AS DOUBLE) / 2700, 4)),
-                                             ('injured', 90, 0.0::DOUBLE)) g(scenario, days, rate))
+             FROM (SELECT *, g.scenario AS scenario, g.days AS days, g.rate AS rate
+                   FROM (SELECT *, UNNEST([
+                           {'scenario': 'steady', 'days': 180, 'rate': ROUND_EVEN(8 * CAST(90 AS DOUBLE) / 1800, 4)},
+                           {'scenario': 'breakthrough', 'days': 365, 'rate': ROUND_EVEN(30 * CAST(90 AS DOUBLE) / 2700, 4)},
+                           {'scenario': 'injured', 'days': 90, 'rate': 0.0::DOUBLE}]) AS g FROM serving)))
        WHERE age BETWEEN 15 AND 45""",
 )
 def scenario_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -1040,7 +1060,7 @@ def _live_log(spark: SparkSession, d: str) -> DataFrame:
     schema = standin.table(spark, d, "events").schema
     live = read_stream(spark, d, schema, glob="events.parquet")
     return live.select(
-        "ts", F.concat(F.lit("/"), F.col("event_type")).alias("handler"), (F.col("value") / 100).alias("latency")
+        "ts", F.concat(F.lit("/"), F.col("event_type")).alias("handler"), (F.col("value") / 400).alias("latency")
     )
 
 

@@ -130,7 +130,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_status(table(spark, sf_dir, "events")).select(
         "ts",
         F.concat(F.lit("/"), F.col("event_type")).alias("handler"),
-        (F.col("value") / 100).alias("latency"),
+        (F.col("value") / 400).alias("latency"),
         "status",
     )
 

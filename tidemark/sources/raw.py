@@ -22,19 +22,24 @@ class RawTables:
     clubs: DataFrame
 
 
-def typed(valuations: DataFrame, players: DataFrame, appearances: DataFrame, clubs: DataFrame) -> RawTables:
-    """Cast keys, dates and values once, so that every later join is a plain equi join.
+def typed_valuations(valuations: DataFrame) -> DataFrame:
+    """Snapshots with typed columns.
 
-    A snapshot whose value is absent is dropped; one whose value cannot be read keeps a
-    null value, because "latest" must still see it.
+    One whose value is absent is dropped; one whose value cannot be read keeps a null
+    value, because "latest" must still see it.
     """
+    return valuations.filter(F.col("market_value_in_eur").isNotNull()).select(
+        lenient_long(valuations, "player_id").alias("player_id"),
+        strict_date(F.col("date")).alias("date"),
+        lenient_long(valuations, "market_value_in_eur").alias("market_value_in_eur"),
+        "current_club_name",
+    )
+
+
+def typed(valuations: DataFrame, players: DataFrame, appearances: DataFrame, clubs: DataFrame) -> RawTables:
+    """Cast keys, dates and values once, so that every later join is a plain equi join."""
     return RawTables(
-        valuations=valuations.filter(F.col("market_value_in_eur").isNotNull()).select(
-            lenient_long(valuations, "player_id").alias("player_id"),
-            strict_date(F.col("date")).alias("date"),
-            lenient_long(valuations, "market_value_in_eur").alias("market_value_in_eur"),
-            "current_club_name",
-        ),
+        valuations=typed_valuations(valuations),
         players=players.withColumns(
             {
                 "player_id": lenient_long(players, "player_id"),
