@@ -100,3 +100,27 @@ def test_scoring_stream(spark):
     bad = fresh_path(spark, "bad")
     jobs.write_scores(rejected, bad, fresh_path(spark, "ckpt2")).awaitTermination()
     assert [r["violations"] for r in spark.read.parquet(bad).collect()] == [["age_at_valuation"]]
+
+
+def test_request_and_scenario_streams_against_profiles(spark):
+    from test_models import profile
+
+    from tidemark.operators.scoring import simulate
+
+    profiles = spark.createDataFrame([profile(), profile(player_id=2, age_at_valuation=50.0)], schemas.SERVING)
+    model = FormulaModel("log_last_known_value")
+    path = write_table(spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 9)], "request_id long, player_id long"), fresh_path(spark, "asked"))
+    live = jobs.read_stream(spark, path, spark.read.parquet(path).schema)
+    answers, failures = jobs.score_requests(live, profiles, model)
+    out, bad = fresh_path(spark, "answers"), fresh_path(spark, "failures")
+    jobs.write_scores(answers, out, fresh_path(spark, "c1")).awaitTermination()
+    jobs.write_scores(failures, bad, fresh_path(spark, "c2")).awaitTermination()
+    assert sorted(r["request_id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+    assert {r["request_id"]: r["reason"] for r in spark.read.parquet(bad).collect()} == {3: "age_at_valuation", 4: "unknown id"}
+
+    rows = [(1, 1800, 4, None, None, None, None, None), (9, 1800, 0, 0, 0, 0, None, 90)]
+    path = write_table(spark.createDataFrame(rows, schemas.SCENARIO_ROW), fresh_path(spark, "scenarios"))
+    told, _ = simulate(profiles, jobs.read_stream(spark, path, schemas.SCENARIO_ROW), model)
+    out = fresh_path(spark, "told")
+    jobs.write_scores(told, out, fresh_path(spark, "c3")).awaitTermination()
+    assert [r["player_id"] for r in spark.read.parquet(out).collect()] == [1]

@@ -805,13 +805,14 @@ def batch_score(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score_rows(good, MODEL, "formula-v1", ["player_id"])
 
 
-@query(
-    "keyed_score",
-    f"""SELECT player_id, player_name, club_name, CAST(target_market_value_eur AS DOUBLE) AS last_known_value_eur,
-               ROUND_EVEN(GREATEST(EXP(x) - 1, 0), 2) AS predicted_market_value_eur,
-               ROUND_EVEN(x, 4) AS log_market_value, 'EUR' AS valuation_currency, 'formula-v1' AS model_version
-        FROM (SELECT *, {_score_sql()} AS x FROM profiles WHERE {_SCORABLE})""",
-)
+_KEYED_SQL = f"""
+    SELECT player_id, player_name, club_name, CAST(target_market_value_eur AS DOUBLE) AS last_known_value_eur,
+           ROUND_EVEN(GREATEST(EXP(x) - 1, 0), 2) AS predicted_market_value_eur,
+           ROUND_EVEN(x, 4) AS log_market_value, 'EUR' AS valuation_currency, 'formula-v1' AS model_version
+    FROM (SELECT *, {_score_sql()} AS x FROM profiles WHERE {_SCORABLE})"""
+
+
+@query("keyed_score", _KEYED_SQL + " WHERE player_id IN (SELECT player_id FROM valuations)")
 def keyed_score(spark: SparkSession, d: str) -> DataFrame:
     ids = standin.table(spark, d, "orders").select(F.col("o_custkey").alias("player_id"))
     return scoring.score_ids(ids, _profiles(spark, d), MODEL, "formula-v1")[0]
@@ -1027,23 +1028,23 @@ _BUCKETS = """SELECT TIME_BUCKET(INTERVAL 1 DAY, ts) AS window_start, handler,
              WHEN b1 >= 0.95 * n THEN 0.1 * (0.95 * n) / b1
              WHEN b2 >= 0.95 * n THEN 0.1 + 0.4 * (0.95 * n - b1) / (b2 - b1)
              WHEN b3 >= 0.95 * n THEN 0.5 + 0.5 * (0.95 * n - b2) / (b3 - b2)
-             ELSE 1.0 END, 6)::DOUBLE AS p95
+             ELSE 1.0 END, 9)::DOUBLE AS p95
         FROM (SELECT window_start, handler, b1::DOUBLE AS b1, b2::DOUBLE AS b2, b3::DOUBLE AS b3, n::DOUBLE AS n
               FROM ({_BUCKETS}))""",
 )
 def latency_p95(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(traffic.latency_p95(standin.request_log(spark, d), "handler", "latency", width="1 day"), p95=6)
+    return _rounded(traffic.latency_p95(standin.request_log(spark, d), "handler", "latency", width="1 day"), p95=9)
 
 
 @query(
     "latency_p95_exact",
     """SELECT TIME_BUCKET(INTERVAL 1 DAY, ts) AS window_start, handler,
-              ROUND(QUANTILE_CONT(latency, 0.95), 6) AS p95
+              ROUND(QUANTILE_CONT(latency, 0.95), 9) AS p95
        FROM requests GROUP BY 1, 2""",
 )
 def latency_p95_exact(spark: SparkSession, d: str) -> DataFrame:
     log = standin.request_log(spark, d)
-    return _rounded(traffic.latency_quantile_exact(log, "handler", "latency", width="1 day"), p95=6)
+    return _rounded(traffic.latency_quantile_exact(log, "handler", "latency", width="1 day"), p95=9)
 
 
 @query(
@@ -1090,10 +1091,10 @@ def stream_latency_p95(spark: SparkSession, d: str) -> DataFrame:
         fresh_path(spark, "latency_p95"),
     )
     p95 = traffic.bucket_quantile(F.col("upto"), F.col("total"), 0.95).alias("p95")
-    return _rounded(buckets.select("window_start", "handler", p95), p95=6)
+    return _rounded(buckets.select("window_start", "handler", p95), p95=9)
 
 
-@query("stream_score", SQL["keyed_score"])
+@query("stream_score", _KEYED_SQL)
 def stream_score(spark: SparkSession, d: str) -> DataFrame:
     """Profiles arriving as files, checked and scored by a stream."""
     from tidemark.sources.sinks import write_table
@@ -1110,6 +1111,23 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(answers.schema).parquet(f"{base}/out")
 
 
+@query(
+    "stream_keyed_score",
+    f"""SELECT o_orderkey AS request_id, s.*
+        FROM orders JOIN ({_KEYED_SQL}) s ON s.player_id = o_custkey""",
+)
+def stream_keyed_score(spark: SparkSession, d: str) -> DataFrame:
+    """Every order asks for the value of its customer: a stream against a static table."""
+    from tidemark.streaming.jobs import read_stream, score_requests, write_scores
+
+    live = read_stream(spark, d, standin.table(spark, d, "orders").schema, glob="orders.parquet")
+    requests = live.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("player_id"))
+    answers, _ = score_requests(requests, _profiles(spark, d), MODEL, "formula-v1")
+    base = fresh_path(spark, "stream_keyed_score")
+    write_scores(answers, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(answers.schema).parquet(f"{base}/out")
+
+
 # --- sources and sinks ---------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.quality import SCORING_DEFAULTS, scoring_rules, with_defaults, with_violations
-from tidemark.operators.scoring import DEFAULT_VERSION, score_rows
+from tidemark.operators.scoring import DEFAULT_VERSION, anchored_rows, score_rows
 from tidemark.sources.schemas import SCORING_ROW
 
 
@@ -78,6 +78,25 @@ def score_stream(
     return answers, marked.filter(~fine)
 
 
+def score_requests(
+    requests: DataFrame, profiles: DataFrame, model, version: str = DEFAULT_VERSION
+) -> tuple[DataFrame, DataFrame]:
+    """(answers, failures) of a stream of keyed requests against a static profile table.
+
+    A request is answered as often as it is made. Failures carry a reason: the id is
+    unknown, or the profile is outside the service's bounds. The join is stateless.
+    """
+    asked = [c for c in requests.columns if c != "player_id"]
+    known = anchored_rows(profiles).withColumn("_known", F.lit(True))
+    joined = requests.join(known, "player_id", "left")
+    marked = with_violations(joined, scoring_rules())
+    fine = F.col("_known").isNotNull() & (F.size("violations") == 0)
+    shown = ["player_id", "player_name", "club_name", "last_known_value_eur"]
+    answers = score_rows(marked.filter(fine).drop("violations", "_known"), model, version, [*asked, *shown])
+    reason = F.when(F.col("_known").isNull(), "unknown id").otherwise(F.array_join("violations", ","))
+    return answers, marked.filter(~fine).select(*asked, "player_id", reason.alias("reason"))
+
+
 def write_scores(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Exactly-once files of answers."""
     return (
