@@ -78,7 +78,9 @@ def wasserstein(
 ) -> DataFrame:
     """Normalised Wasserstein-1 distance per numeric column."""
     counts = period_counts(df, columns, "double")
-    ranked = running_totals(counts, ["column"], "value", ["n_ref", "n_cur"], ["column"], blocks)
+    ranked = running_totals(
+        counts, ["column"], "value", ["n_ref", "n_cur"], "column", columns, blocks
+    )
     # An empty period has no distribution: its shares, and so the score, are null.
     upto = {n: F.try_divide(F.col(f"{n}_upto"), F.col(f"{n}_all")) for n in ("n_ref", "n_cur")}
     gap = F.abs(upto["n_ref"] - upto["n_cur"])
@@ -100,12 +102,13 @@ def wasserstein(
 def _shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Category shares per period, next to each column's totals and smallest shares."""
     counts = period_counts(df, columns, "string")
-    # One row per column.
+    # One row of four numbers per name in ``columns``: bounded by the call, so broadcast. A
+    # plain join would gather every category of one column in one task.
     totals = counts.groupBy("column").agg(
         *[F.sum(n).alias(f"{n}_all") for n in ("n_ref", "n_cur")],
         *[F.min(F.when(F.col(n) > 0, F.col(n))).alias(f"{n}_min") for n in ("n_ref", "n_cur")],
     )
-    return counts.join(totals, "column").select(
+    return counts.join(F.broadcast(totals), "column").select(
         "column",
         *[F.try_divide(F.col(n), F.col(f"{n}_all")).alias(p) for n, p in (("n_ref", "ref"), ("n_cur", "cur"))],
         *[

@@ -15,15 +15,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCKS = 64
+MOST_CUTS = 1_000_000
 
 
 def _cuts(value: Column, blocks: int) -> Column:
     return F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 20 * blocks)
 
 
-def _block_of(value: Column, cuts: Column) -> Column:
-    """Number of cuts below the value: rises with the value, never falls."""
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+def _with_block(df: DataFrame, value: str, cuts: str, count: int) -> DataFrame:
+    """Adds ``_block``: how many of the sorted cuts lie below the value.
+
+    A binary search in plain projections, which stay inside generated code. The block
+    rises with the value and never falls.
+    """
+    out = df.withColumn("_block", F.lit(0))
+    step = 1 << max(count.bit_length() - 1, 0)
+    while step:
+        below = F.get(F.col(cuts), F.col("_block") + (step - 1)) < F.col(value)
+        out = out.withColumn("_block", F.col("_block") + F.when(below, step).otherwise(0))
+        step >>= 1
+    return out
 
 
 def running_totals(
@@ -31,7 +42,8 @@ def running_totals(
     groups: Sequence[str],
     value: str,
     weights: Sequence[str],
-    axis: Sequence[str] = (),
+    scale: str | None = None,
+    scales: Sequence[str] = (),
     blocks: int = BLOCKS,
 ) -> DataFrame:
     """Adds, per row, running and whole weights of its group, and the next value.
@@ -39,22 +51,25 @@ def running_totals(
     ``counts`` has one row per (groups, value) with non-null values. Adds ``<w>_upto``
     (inclusive), ``<w>_all`` and ``next_value`` (null on the group's last value).
 
-    ``axis`` names the columns that tell apart value scales (say, the column name in
-    long format); it must be a subset of ``groups`` with few values by design, for the
-    cuts of all axes form one small table. Empty means one scale for all groups.
+    ``scale`` names the group column that tells apart value scales (in long format, the
+    column name) and ``scales`` lists all its values. Without it all groups share one
+    scale.
     """
     # Values without weight change nothing. Testing the weights also keeps them in the plan
     # of the cuts, so all three uses below share one shuffle of ``counts``.
     counts = counts.filter(sum((F.col(w) for w in weights), F.lit(0)) > 0)
     cut_expr = _cuts(F.col(value), blocks)
-    if axis:
-        # One row per axis value (a schema's column names) and blocks-1 doubles each;
-        # left unhinted, Spark broadcasts it after checking the size itself.
-        cuts = counts.groupBy(*axis).agg(cut_expr.alias("_cuts"))
-        placed = counts.join(cuts, list(axis))
+    if scale:
+        if len(scales) * blocks > MOST_CUTS:
+            raise ValueError(f"{len(scales)} scales of {blocks} blocks are too many to broadcast")
+        # A plain join would gather every value of one column in one task. The cuts are
+        # len(scales) rows of blocks - 1 doubles, checked above. (No filter on the scales
+        # here: it would sink below the counts and cost their shuffle a second time.)
+        cuts = counts.groupBy(scale).agg(cut_expr.alias("_cuts"))
+        counted = counts.join(F.broadcast(cuts), scale)
     else:
-        placed = counts.withColumn("_cuts", counts.agg(cut_expr.alias("c")).scalar())
-    placed = placed.withColumn("_block", _block_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+        counted = counts.withColumn("_cuts", counts.agg(cut_expr.alias("c")).scalar())
+    placed = _with_block(counted, value, "_cuts", blocks - 1).drop("_cuts")
 
     where = [*groups, "_block"]
     sums = placed.groupBy(*where).agg(
@@ -98,7 +113,8 @@ def exact_quantile(
     value: str,
     q: float,
     name: str,
-    axis: Sequence[str] = (),
+    scale: str | None = None,
+    scales: Sequence[str] = (),
     blocks: int = BLOCKS,
 ) -> DataFrame:
     """Exact quantile with linear interpolation (``percentile_cont``), one row per group.
@@ -110,7 +126,7 @@ def exact_quantile(
         .groupBy(*groups, F.col(value).cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counts, groups, value, ["_n"], axis, blocks)
+    ranked = running_totals(counts, groups, value, ["_n"], scale, scales, blocks)
     spot = F.lit(q) * (F.col("_n_all") - 1)
     start = F.col("_n_upto") - F.col("_n")
 

@@ -34,7 +34,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     melted = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
-    return exact_quantile(melted, ["column"], "value", 0.5, "median", axis=["column"])
+    return exact_quantile(melted, ["column"], "value", 0.5, "median", "column", columns)
 
 
 def moments(df: DataFrame, fills: dict[str, float]) -> DataFrame:
