@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CATEGORY_INPUTS, NUMERIC_INPUTS
-from tidemark.operators.ordered import BLOCKS, running_totals
+from tidemark.operators.ordered import BLOCKS, melt, running_totals
 
 MIN_STD = 0.001
 ZERO_SHARE = 0.0001
@@ -46,9 +46,7 @@ def _finite(name: str) -> Column:
 
 def period_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     """(column, value, n_ref, n_cur) for columns cast to ``kind``."""
-    melted = df.select("period", *[F.col(c).cast(kind).alias(c) for c in columns]).unpivot(
-        ["period"], list(columns), "column", "value"
-    )
+    melted = melt(df, ["period"], columns, kind)
     usable = F.col("value").isNotNull()
     if kind == "double":
         usable &= _finite("value")

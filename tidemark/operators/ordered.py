@@ -18,6 +18,16 @@ BLOCKS = 64
 MOST_CUTS = 1_000_000
 
 
+def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str], kind: str) -> DataFrame:
+    """Long format: ``keep`` columns, ``column`` and ``value`` (cast to ``kind``).
+
+    An inlined array rather than ``unpivot``: Spark reuses a shuffle above it, which it
+    does not above unpivot's Expand once a plan meets a copy of itself.
+    """
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns]
+    return df.select(*keep, F.inline(F.array(*pairs)))
+
+
 def _cuts(value: Column, blocks: int) -> Column:
     return F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 20 * blocks)
 

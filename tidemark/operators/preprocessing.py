@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CATEGORY_INPUTS, NUMERIC_INPUTS, TARGET
-from tidemark.operators.ordered import exact_quantile
+from tidemark.operators.ordered import exact_quantile, melt
 
 UNKNOWN = "unknown"
 
@@ -31,9 +31,7 @@ class ModelSpec:
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, median): exact, without holding a column in one buffer."""
-    melted = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
+    melted = melt(df, [], columns, "double")
     return exact_quantile(melted, ["column"], "value", 0.5, "median", "column", columns)
 
 
