@@ -224,6 +224,9 @@ def test_history_of_zero_null_and_copies(spark):
     inf = float("inf")
     assert [r[2:] for r in got] == [(0, 0.0), (10, inf), (-10, -100.0), (0, 0.0), (0, 0.0), (0, 0.0)]
     assert got[2][1] == "Unknown Club"
+    undated = df.union(spark.createDataFrame([(1, None, 4, "B")], df.schema))
+    last = snapshot_history(undated).filter("valuation_date is null").collect()
+    assert [(r["market_value_eur"], r["val_change_eur"], r["val_change_pct"]) for r in last] == [(4, -4, -50.0)]
     second = snapshot_history(df).filter("player_id = 2").collect()
     assert sorted((r["market_value_eur"], r["val_change_eur"], r["val_change_pct"]) for r in second) == [
         (5, 0, 0.0), (5, 0, 0.0), (7, 2, 40.0), (14, 7, 100.0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.functions.numeric import signed_percent
 
 # Largest array one row is expanded through; more copies are split over tasks first.
 COPIES_PER_STEP = 100_000
+NO_DATE = dt.date(9999, 12, 31)
 
 
 def repeat_rows(df: DataFrame, count: str, step: int = COPIES_PER_STEP) -> DataFrame:
@@ -54,14 +57,19 @@ def snapshot_history(
     over one row per (entity, day). So neither a busy entity nor a mass of copies meets
     in one window partition.
     """
-    rows = snapshots.select(
+    # An undated snapshot comes last, as under NULLS LAST.
+    rows = snapshots.filter(F.col(key).isNotNull()).select(
         F.col(key),
-        F.col(date).alias("valuation_date"),
+        F.coalesce(F.col(date), F.lit(NO_DATE)).alias("valuation_date"),
         F.col(value).alias("market_value_eur"),
         F.coalesce(F.col(group), F.lit(unknown_group)).alias("club_name"),
     )
-    combos = rows.groupBy(key, "valuation_date", "market_value_eur", "club_name").agg(
-        F.count(F.lit(1)).alias("_copies")
+    # The filter is always true; it keeps the count in every use of ``combos``, so that all
+    # of them share one scan and one shuffle.
+    combos = (
+        rows.groupBy(key, "valuation_date", "market_value_eur", "club_name")
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .filter(F.col("_copies") > 0)
     )
     # A struct keeps "the previous value is null" apart from "there is no previous row".
     spot = F.struct(F.col("market_value_eur").alias("v"), F.col("club_name").alias("g"))
@@ -79,7 +87,7 @@ def snapshot_history(
     delta = F.col("market_value_eur") - base
     return copies.select(
         key,
-        "valuation_date",
+        F.nullif(F.col("valuation_date"), F.lit(NO_DATE)).alias("valuation_date"),
         "market_value_eur",
         "club_name",
         F.coalesce(delta, F.lit(0)).alias("val_change_eur"),
