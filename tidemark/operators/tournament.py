@@ -183,7 +183,8 @@ def save_leaderboard(board: DataFrame, path: str) -> str:
 def ranked_board(metrics: DataFrame, champion: str, missing: float = 99999999.0) -> DataFrame:
     """Candidates by validation error (missing counts as very large), champion marked.
 
-    ``metrics`` has one map column ``entries``: name -> {val_mae, val_rmse, val_r2}.
+    ``metrics`` has a map column ``entries``: name -> {val_mae, val_rmse, val_r2}, in one
+    document or spread over several rows.
     """
     rows = metrics.select(F.explode("entries").alias("name", "m"))
     return rows.select(

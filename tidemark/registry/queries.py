@@ -986,10 +986,9 @@ def leaderboard_ranking(spark: SparkSession, d: str) -> DataFrame:
 
     steady = scoring.FormulaModel("log_last_known_value").transform(standin.features(spark, d))
     metrics = evaluation.regression_metrics(steady, "log_target_market_value", by=("position",))
-    entry = F.struct("position", F.struct(F.col("mae").alias("val_mae"), F.col("rmse").alias("val_rmse"), F.col("r2").alias("val_r2")))
-    # One map entry per market segment, as one per candidate in a metrics document.
-    document = metrics.agg(F.map_from_entries(F.collect_list(entry)).alias("entries"))
-    return _rounded(ranked_board(document, "BUILDING"), mae=2)
+    scores = F.struct(F.col("mae").alias("val_mae"), F.col("rmse").alias("val_rmse"), F.col("r2").alias("val_r2"))
+    documents = metrics.select(F.create_map("position", scores).alias("entries"))
+    return _rounded(ranked_board(documents, "BUILDING"), mae=2)
 
 
 # --- traffic -------------------------------------------------------------------------
