@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Continental cups, model inputs and the newest club list are data, kept
 # as plain text because results depend on their exact spelling.
@@ -66,8 +66,12 @@ class Settings:
     # The default differs on purpose between training and serving.
     training_foot: str = "unknown"
     serving_foot: str = "right"
-    # Explicit "today": results must not change from day to day on their own.
-    as_of: dt.date = field(default_factory=dt.date.today)
+    # "Today" of ages in the serving tables. Set it where results must not change from
+    # day to day; unset, the day of the call counts.
+    as_of: dt.date | None = None
+
+    def today(self) -> dt.date:
+        return self.as_of or dt.date.today()
 
     def facts_from(self) -> dt.date:
         """First day that can reach any output row.

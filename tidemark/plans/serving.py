@@ -74,7 +74,7 @@ def active_catalog(
         F.coalesce("position", F.lit("Midfield")).alias("position"),
         F.coalesce("sub_position", F.lit("Central Midfield")).alias("sub_position"),
         F.coalesce("foot", F.lit(settings.serving_foot)).alias("dominant_foot"),
-        age_years(F.col("date_of_birth"), settings.as_of, 1).alias("latest_age"),
+        age_years(F.col("date_of_birth"), settings.today(), 1).alias("latest_age"),
         F.coalesce("val_eur", "market_value_in_eur").alias("latest_recorded_val_eur"),
     ).filter(F.col("latest_recorded_val_eur") > 0)
     names = settings.active_groups if active is None else active
@@ -125,7 +125,7 @@ def serving_features(
         F.coalesce("position", F.lit("Midfield")).alias("position"),
         F.coalesce("sub_position", F.lit("Central Midfield")).alias("sub_position"),
         F.coalesce("foot", F.lit(settings.serving_foot)).alias("dominant_foot"),
-        age_years(F.col("date_of_birth"), settings.as_of, 1).alias("age_at_valuation"),
+        age_years(F.col("date_of_birth"), settings.today(), 1).alias("age_at_valuation"),
         value.alias("target_market_value_eur"),
         value.alias("current_market_value_eur"),
         prior.alias("prior_market_value_eur"),
