@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, main_text, repetition, toxicity
-from tidemark.llm.frames import fold_of, table
+from tidemark.llm import language_id, main_text, repetition, token_output, toxicity
+from tidemark.llm.frames import fold_of, fresh_path, table
+
+END_ID = 2
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return token_output.read_summary(spark, path)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), fold_of("doc_id", 4)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), (fold != 2) & (fold >= 0))
@@ -33,6 +48,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op4_language_id": op4_language_id,
+    "op7_token_output": op7_token_output,
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
 }
