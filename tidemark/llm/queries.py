@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, main_text, repetition, token_output, toxicity
+from tidemark.llm import language_id, main_text, mixing, repetition, token_output, toxicity
 from tidemark.llm.frames import fold_of, fresh_path, table
 
 END_ID = 2
@@ -14,6 +14,10 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), fold_of("doc_id", 5)
     model = language_id.train(docs, fold > 0)
@@ -47,6 +51,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repetition": op1_repetition,
+    "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op7_token_output": op7_token_output,
     "op8_toxicity": op8_toxicity,
