@@ -65,10 +65,10 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word and the byte after its last one."""
+def word_spans(data: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after its last one; separator: which bytes part words."""
     gap = np.ones(len(data) + 2, np.int8)
-    gap[1:-1] = _SEPARATOR[data]
+    gap[1:-1] = separator[data]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     return edges[::2], edges[1::2]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, main_text, mixing, repetition, simhash, token_output, toxicity
+from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, token_output, toxicity
 from tidemark.llm.frames import fold_of, fresh_path, table
 
 END_ID = 2
@@ -53,6 +53,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_a", "_b")
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op3_mixing": op3_mixing,
@@ -61,6 +66,7 @@ QUERIES = {
     "op7_token_output": op7_token_output,
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
+    "op10_decontamination": op10_decontamination,
 }
 
 # DuckDB SQL of those that SQL can express.
