@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, token_output, toxicity
+from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, token_output, toxicity, window_doubling
 from tidemark.llm.frames import fold_of, fresh_path, table
 
 END_ID = 2
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_doubling.remove_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_repetition": op1_repetition,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_window_doubling": op5_window_doubling,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op8_toxicity": op8_toxicity,
