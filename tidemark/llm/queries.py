@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, token_output, toxicity, window_doubling
+from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, suffix_dedup, token_output, toxicity, window_doubling
 from tidemark.llm.frames import fold_of, fresh_path, table
 
 END_ID = 2
@@ -14,6 +14,10 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repetition": op1_repetition,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_window_doubling": op5_window_doubling,
