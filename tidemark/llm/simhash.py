@@ -18,7 +18,7 @@ has members at most, and components are then joined by alternating large and sma
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any
 other; repeated rows share a fingerprint; a null doc_id gets its component's id and does
-not name one; an empty table gives an empty table; other columns are not looked at.
+not name one (a component without ids has none); an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import append, map_arrow, stage, text_bytes
+from tidemark.llm.frames import append, keyed, map_arrow, stage, text_bytes
 
 SHINGLE = 3
 RADIUS = 2
@@ -65,13 +65,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each row."""
+    """doc_id, the keys _a and _b and the fingerprint (as a signed long) of each row."""
 
     def work(batch):
         found = [fingerprint(x) for x in batch.column("_text").to_pylist()]
         return [np.array(found, np.uint64).view(np.int64)]
 
-    return append(text_bytes(docs, "doc_id"), "fp bigint", lambda: work).drop("_text")
+    rows = text_bytes(keyed(docs.select("doc_id", "text")), "doc_id", "_a", "_b")
+    return append(rows, "fp bigint", lambda: work).drop("_text")
 
 
 def _blocks(bits: list[int], n: int) -> list[int]:
@@ -253,25 +254,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of every row of docs."""
+def _members(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, _a, _b, fp, root and component_id of every row of docs."""
     rows = stage(fingerprints(docs), "simhash")
     per = rows.groupBy("fp").agg(F.min("doc_id").alias("_first"))
     roots = components(links(per.select("fp"), radius))
     named = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stage(named, "simhash-roots")
     ids = named.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = named.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every row of docs."""
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return _members(docs, radius).select("doc_id", shown, "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, unchanged, with one document of each component: its smallest id.
+    """The rows of docs, unchanged, with one document of each component.
 
-    Rows with one id and one text, and rows without an id, count as one document.
+    It is the one with the smallest id; rows without an id come last.
     """
-    found = near_duplicates(docs, radius)
-    firsts = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_keep"))
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id")
-    kept = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select("_row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "_a", "_b")
+    kept = _members(docs, radius).groupBy("root").agg(F.min(order).alias("_one")).select("_one._a", "_one._b")
+    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    return rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select("_row.*")
