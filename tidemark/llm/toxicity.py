@@ -140,12 +140,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return ToxicityModel(spread, float(bias))
 
 
-def _sample(docs: DataFrame, most: int) -> list[np.ndarray]:
-    """Features of about that many rows (all, if there are fewer), chosen by hash of the id."""
-    share = min(1.0, most / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    made = append(chosen, "_features array<int>", lambda: lambda b: [[features(t) for t in b.column("text").to_pylist()]])
-    return sorted((np.array(r[0], np.int32) for r in made.select("_features").collect()), key=lambda x: x.tobytes())
+def _sample(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
+    """Features of the rows of docs with about that many of ids (all, if there are fewer).
+
+    The ids are chosen by hash; their number bounds what is broadcast and collected.
+    """
+    share = min(1.0, most / max(1, ids.count()))
+    chosen = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+    made = append(texts, "_features binary", lambda: lambda b: [[features(t).tobytes() for t in b.column("text").to_pylist()]])
+    return [np.frombuffer(x, np.int32) for x in sorted(made.select("_features").toArrow().column(0).to_pylist())]
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column) -> ToxicityModel:
@@ -158,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column) -> ToxicityModel:
     rate = marked.agg(F.avg(F.col("_toxic").cast("double"))).first()[0]
     pool = docs.filter(use).select("doc_id", "text")
     toxic = marked.filter("_toxic = 1").select("doc_id")
-    return fit(_sample(pool.join(toxic, "doc_id", "left_semi"), MOST_POSITIVE), _sample(pool, MOST_UNLABELLED), rate or 0.0)
+    return fit(_sample(pool, toxic, MOST_POSITIVE), _sample(pool, pool.select("doc_id"), MOST_UNLABELLED), rate or 0.0)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
