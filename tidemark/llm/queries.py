@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, suffix_dedup, token_output, toxicity, window_doubling
+from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, sql, suffix_dedup, token_output, toxicity, window_doubling
 from tidemark.llm.frames import fold_of, fresh_path, table
 
 END_ID = 2
@@ -80,4 +80,4 @@ QUERIES = {
 }
 
 # DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_repetition": sql.repetition(), "op5_window_doubling": sql.window_doubling()}
