@@ -81,12 +81,10 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces together, set apart by a tab, which is a token of its own there."""
-        if len(self.known) > _MOST_PIECES:
-            self.known.clear()
         joint, alone = [], []
         for p in pieces:
             fine = self.gap is not None and "\t" not in p and p and not p[-1].isspace() and (p[0] == " " or not p[0].isspace())
-            (joint if fine and p.isprintable() else alone).append(p)
+            (joint if fine and p.replace("\n", "").isprintable() else alone).append(p)
         for at in range(0, len(joint), 256):
             some = joint[at : at + 256]
             ids = np.frombuffer(self._plain(["\t".join(some)])[0], self.dtype)
@@ -101,6 +99,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of each text."""
+        if len(self.known) > _MOST_PIECES:
+            self.known.clear()
         cut = []
         for text in texts:
             if _ODD.search(text):
@@ -112,10 +112,7 @@ class Encoder:
         long = {p for p in new if len(p) > _LONGEST_PIECE}
         self._learn(list(new - long))
         aside = dict(zip(long, self._plain(list(long)), strict=True)) if long else {}
-        if len(self.known) > _MOST_PIECES or aside:
-            of = lambda p: self.known[p] if p in self.known else aside[p]
-        else:
-            of = self.known.__getitem__
+        of = (self.known | aside if aside else self.known).__getitem__
         return [b"".join(map(of, pieces)) for pieces in cut]
 
 
