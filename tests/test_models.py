@@ -39,7 +39,7 @@ def test_preprocessor(spark, table):
 
 
 def test_candidates_follow_the_config():
-    made = tournament.make_candidates({"Only": {"kind": "forest", "numTrees": 150, "maxDepth": 12}}, max_trees=5)
+    made = tournament.make_candidates({"Only": {"kind": "forest", "numTrees": 5, "maxDepth": 12}})
     assert list(made) == ["Only"] and made["Only"].getNumTrees() == 5 and made["Only"].getSeed() == 42
     full = tournament.make_candidates()
     assert len(full) == 5 and full["GradientBoosting"].getMaxIter() == 200
@@ -135,14 +135,17 @@ def test_scoring_single_and_keyed(spark):
     profiles = spark.createDataFrame([profile(), profile(player_id=2, age_at_valuation=46.0)], schemas.SERVING)
     model = scoring.FormulaModel(ECHO)
     ids = spark.createDataFrame([(1,), (2,), (3,)], "player_id long")
-    scored, unknown = scoring.score_ids(ids, profiles, model)
+    scored, failed = scoring.score_ids(ids, profiles, model)
     rows = scored.collect()
-    assert [r["player_id"] for r in rows] == [1] and [r[0] for r in unknown.collect()] == [3]
+    assert [r["player_id"] for r in rows] == [1]
+    assert dict(map(tuple, failed.collect())) == {2: "age_at_valuation", 3: "unknown id"}
     assert rows[0]["log_market_value"] == 6.9088
     assert rows[0]["predicted_market_value_eur"] == round(math.expm1(6.9088), 2)
     assert (rows[0]["valuation_currency"], rows[0]["model_version"]) == ("EUR", "LightGBM-v6")
     assert [r["player_id"] for r in scoring.score_profiles(profiles, model)[1].collect()] == [2]
-    page = scoring.page_valuation(profiles, model).first()
+    valued, failed = scoring.page_valuation(profiles, model)
+    assert [tuple(r) for r in failed.collect()] == [(2, "age_at_valuation")]
+    page = valued.first()
     assert page["growth_eur"] == pytest.approx(page["predicted_market_value_eur"] - 800)
     assert page["growth_pct"] == pytest.approx(page["growth_eur"] / 800 * 100)
 
@@ -169,15 +172,23 @@ def test_scenarios(spark):
     assert built[2]["age_at_valuation"] == pytest.approx(20 + 180 / 365.25)
     assert (built[2]["minutes_prior_window"], built[2]["contrib_per_90_prior"], built[2]["last_known_value_eur"]) == (700, 0.5, 1000.0)
     answers, rejected = scoring.simulate(profiles, scenarios, scoring.FormulaModel(f"{ECHO} + 0.1"))
-    assert answers.count() == 2 and rejected.count() == 2
+    assert answers.count() == 2
+    assert sorted(map(tuple, rejected.collect())) == [(1, "days_elapsed"), (1, "simulated_minutes"), (7, "unknown id")]
     row = answers.first()
+    # The club may be left out altogether.
+    told, _ = scoring.simulate(profiles, scenarios.drop("simulated_club").filter("simulated_goals = 4"), scoring.FormulaModel(ECHO))
+    assert told.count() == 1
     assert row["value_change_pct"] == pytest.approx((row["predicted_market_value_eur"] - 1000) / 10, abs=0.01)
 
 
 def test_what_if_defaults_and_overrides(spark):
     profiles = spark.createDataFrame([profile(), profile(player_id=2, window_minutes=0, target_market_value_eur=0)], schemas.SERVING)
     overrides = spark.createDataFrame([(1, 22.0, 900.0), (2, None, None)], "player_id long, sim_age double, sim_goals double")
-    rows = {r["player_id"]: r for r in scoring.what_if(profiles, overrides, scoring.FormulaModel(ECHO), 1e6).collect()}
+    more = overrides.union(spark.createDataFrame([(1, 60.0, None), (8, None, None)], overrides.schema))
+    answers, failed = scoring.what_if(profiles, more, scoring.FormulaModel(ECHO), 1e6)
+    assert sorted(map(tuple, failed.collect())) == [(1, "age_at_valuation"), (8, "unknown id")]
+    rows = {r["player_id"]: r for r in answers.collect()}
+    assert len(rows) == answers.count() == 2
     assert rows[1]["goal_contributions_per_90"] == 4.0
     assert rows[2]["goal_contributions_per_90"] == 0.4  # (5 + 3) * 90 / 1800
     assert rows[2]["projected_eur"] == pytest.approx(5e6, rel=1e-4)
@@ -185,7 +196,9 @@ def test_what_if_defaults_and_overrides(spark):
 
 
 def test_payload_arrays(spark):
-    row = (23.5, "Attack", "Left Winger", "right", "Arsenal FC", 5e7, 180, 1600, 350, 0.75, 1500, 0.5, 1)
-    batches = spark.createDataFrame([([row, row],)], f"players array<{schemas.SCORING_ROW.simpleString()}>")
-    out = scoring.score_payloads(batches, scoring.FormulaModel(ECHO))
-    assert out.count() == 2 and out.first()["predicted_market_value_eur"] > 0
+    row = (31.0, "Keeper", "Sweeper", "both", "Riverside", 1.2e6, 64, 411, None, None, None, None, None)
+    old, poor = (99.0, *row[1:]), (*row[:5], -5.0, *row[6:])
+    batches = spark.createDataFrame([("a", [row, old, poor, row]), ("b", [])], f"request_id string, players array<{schemas.SCORING_ROW.simpleString()}>")
+    answers, failed = scoring.score_payloads(batches, scoring.FormulaModel(ECHO))
+    assert sorted((r["request_id"], r["position_in_request"]) for r in answers.collect()) == [("a", 0), ("a", 3)]
+    assert sorted(map(tuple, failed.collect())) == [("a", 1, "age_at_valuation"), ("a", 2, "last_known_value_eur")]

@@ -66,6 +66,7 @@ SCENARIO_DEFAULTS = {
     "simulated_yellow_cards": 0,
     "simulated_european_minutes": 0,
     "days_elapsed": 180,
+    "simulated_club": None,
 }
 
 

@@ -19,17 +19,21 @@ from tidemark.functions.numeric import (
 )
 from tidemark.operators.quality import (
     SCENARIO_DEFAULTS,
+    SCORING_DEFAULTS,
     quarantine,
     scenario_rules,
     scoring_rules,
     with_defaults,
+    with_violations,
 )
-from tidemark.sources.schemas import SCENARIO_ROW
+from tidemark.sources.schemas import SCENARIO_ROW, SCORING_ROW
 
 # Fixed values of the answers.
 CURRENCY = "EUR"
 DEFAULT_VERSION = "LightGBM-v6"
 
+UNKNOWN = "unknown id"
+
 
 class FormulaModel:
     """A model given by a SQL expression for the log prediction."""
@@ -100,17 +104,44 @@ def unknown_ids(ids: DataFrame, profiles: DataFrame) -> DataFrame:
     return ids.select("player_id").distinct().join(profiles, "player_id", "left_anti")
 
 
+def split_checked(rows: DataFrame, known: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to score, failures with a ``reason``): every row is in one of the two.
+
+    The reason is ``unknown id`` where ``known`` does not hold, else the broken rules.
+    """
+    marked = with_violations(rows, scoring_rules())
+    found = F.lit(True) if known is None else F.coalesce(known, F.lit(False))
+    fine = found & (F.size("violations") == 0)
+    reason = F.when(found, F.array_join("violations", ",")).otherwise(F.lit(UNKNOWN))
+    return marked.filter(fine).drop("violations"), marked.filter(~fine).withColumn("reason", reason).drop("violations")
+
+
 def score_ids(
     ids: DataFrame, profiles: DataFrame, model, version: str = DEFAULT_VERSION
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored, unknown ids)."""
-    wanted = profiles.join(ids.select("player_id").distinct(), "player_id", "left_semi")
-    return score_profiles(wanted, model, version)[0], unknown_ids(ids, profiles)
+    """(scored, failures): every distinct id is answered or fails with a reason."""
+    known = anchored_rows(profiles).withColumn("_known", F.lit(True))
+    asked = ids.select("player_id").distinct().join(known, "player_id", "left")
+    good, bad = split_checked(asked, F.col("_known"))
+    keep = ["player_id", "player_name", "club_name", "last_known_value_eur"]
+    return score_rows(good.drop("_known"), model, version, keep), bad.select("player_id", "reason")
 
 
-def score_payloads(batches: DataFrame, model, version: str = DEFAULT_VERSION, array: str = "players") -> DataFrame:
-    """One request row holds an array of scoring rows; one answer row per element."""
-    return score_rows(batches.select(F.inline(array)), model, version)
+def score_payloads(
+    batches: DataFrame, model, version: str = DEFAULT_VERSION, array: str = "players"
+) -> tuple[DataFrame, DataFrame]:
+    """(answers, failures): one request row holds an array of scoring rows.
+
+    Absent fields get their defaults and every element is checked. Answers and failures
+    carry the request's other columns and the element's place in the array; a
+    request without elements has neither.
+    """
+    asked = [c for c in batches.columns if c != array]
+    elements = batches.select(*asked, F.posexplode(array).alias("position_in_request", "_row"))
+    rows = elements.select(*asked, "position_in_request", "_row.*")
+    good, bad = split_checked(with_defaults(rows, SCORING_DEFAULTS, SCORING_ROW))
+    keys = [*asked, "position_in_request"]
+    return score_rows(good, model, version, keys), bad.select(*keys, "reason")
 
 
 def projected_growth(scored: DataFrame, predicted: str, prior: str) -> DataFrame:
@@ -130,7 +161,7 @@ def prediction_interval(predicted: Column, mae: float) -> tuple[Column, Column]:
 def scenario_rows(profiles: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Scoring rows of scenarios, one per (entity, scenario), joined on the entity.
 
-    Age moves on by the elapsed days, the current value becomes the anchor and the
+    A scenario of an unknown entity keeps its row, with ``_known`` null. Age moves on by the elapsed days, the current value becomes the anchor and the
     current window becomes the prior window.
     """
     chosen = F.when(F.col("s.simulated_club") != "", F.col("s.simulated_club"))
@@ -140,11 +171,13 @@ def scenario_rows(profiles: DataFrame, scenarios: DataFrame) -> DataFrame:
         half="even",
     )
     extra = [c for c in scenarios.columns if c not in SCENARIO_ROW.names]
+    known = profiles.withColumn("_known", F.lit(True))
     return (
         scenarios.alias("s")
-        .join(profiles.alias("p"), F.col("s.player_id") == F.col("p.player_id"))
+        .join(known.alias("p"), F.col("s.player_id") == F.col("p.player_id"), "left")
         .select(
-            F.col("p.player_id"),
+            F.col("s.player_id"),
+            "p._known",
             "p.player_name",
             *[F.col(f"s.{c}") for c in extra],
             age_after(F.col("p.age_at_valuation"), F.col("s.days_elapsed")).alias("age_at_valuation"),
@@ -167,10 +200,10 @@ def scenario_rows(profiles: DataFrame, scenarios: DataFrame) -> DataFrame:
 def simulate(
     profiles: DataFrame, scenarios: DataFrame, model, keep: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """(answers, rejected scenarios). Values change against the current value."""
+    """(answers, rejected scenarios with a reason). Values change against the current value."""
     whole = with_defaults(scenarios, SCENARIO_DEFAULTS, SCENARIO_ROW)
     asked, bad_scenarios = quarantine(whole, scenario_rules())
-    good, bad_rows = quarantine(scenario_rows(profiles, asked), scoring_rules())
+    good, bad_rows = split_checked(scenario_rows(profiles, asked), F.col("_known"))
     current = F.col("last_known_value_eur")
     answers = predict(good, model).select(
         "player_id",
@@ -182,9 +215,8 @@ def simulate(
         round_half_even(percent_change(current, F.col("_eur")), 2).alias("value_change_pct"),
         *_answer()[1:],
     )
-    rejected = bad_scenarios.select("player_id", *keep, "violations").unionByName(
-        bad_rows.select("player_id", *keep, "violations")
-    )
+    broken = F.array_join("violations", ",").alias("reason")
+    rejected = bad_scenarios.select("player_id", *keep, broken).unionByName(bad_rows.select("player_id", *keep, "reason"))
     return answers, rejected
 
 
@@ -204,9 +236,17 @@ def scenario_grid(profiles: DataFrame, scenarios: Sequence[dict[str, object]]) -
     return profiles.select("player_id", F.explode(F.array(*structs)).alias("s")).select("player_id", "s.*")
 
 
-def what_if(profiles: DataFrame, overrides: DataFrame, model, mae: float) -> DataFrame:
+# Fixed start values of the form.
+START_VALUE, START_DAYS, START_MINUTES, START_GOALS, START_ASSISTS, START_PRIOR = 5_000_000, 180, 1800, 5, 3, 1000
+
+
+def what_if(
+    profiles: DataFrame, overrides: DataFrame, model, mae: float
+) -> tuple[DataFrame, DataFrame]:
     """The dashboard's variant: age and anchor are free too, the rate has two digits.
 
+    Returns (answers, failures with a reason): every row of overrides is in one of them.
+
     ``overrides`` holds ``player_id`` and any of the ``sim_*`` columns; what is absent
     or null falls back to the profile, or to the form's start value where the profile
     has none.
@@ -220,24 +260,24 @@ def what_if(profiles: DataFrame, overrides: DataFrame, model, mae: float) -> Dat
         value = F.col(f"p.{name}")
         return F.when(value > 0, value).otherwise(F.lit(start))
 
-    joined = profiles.alias("p").join(
-        overrides.alias("o"), F.col("p.player_id") == F.col("o.player_id")
-    )
+    known = profiles.withColumn("_known", F.lit(True))
+    joined = overrides.alias("o").join(known.alias("p"), F.col("p.player_id") == F.col("o.player_id"), "left")
     inputs = joined.select(
-        F.col("p.player_id"),
+        F.col("o.player_id"),
+        "p._known",
         "p.player_name",
         choice("sim_age", F.col("p.age_at_valuation")).alias("age_at_valuation"),
         "p.position",
         "p.sub_position",
         "p.dominant_foot",
         choice("sim_club", F.col("p.club_name")).alias("club_name"),
-        choice("sim_value", positive("target_market_value_eur", 5_000_000)).cast("double").alias("last_known_value_eur"),
-        choice("sim_days", F.lit(180)).cast("bigint").alias("days_between_valuations"),
-        choice("sim_minutes", positive("window_minutes", 1800)).cast("bigint").alias("minutes_since_last_val"),
+        choice("sim_value", positive("target_market_value_eur", START_VALUE)).cast("double").alias("last_known_value_eur"),
+        choice("sim_days", F.lit(START_DAYS)).cast("bigint").alias("days_between_valuations"),
+        choice("sim_minutes", positive("window_minutes", START_MINUTES)).cast("bigint").alias("minutes_since_last_val"),
         choice("sim_euro", F.col("p.window_european_minutes")).cast("bigint").alias("european_minutes_played"),
-        choice("sim_goals", positive("window_goals", 5)).cast("bigint").alias("_goals"),
-        choice("sim_assists", positive("window_assists", 3)).cast("bigint").alias("_assists"),
-        F.coalesce("p.minutes_prior_window", F.lit(1000)).alias("minutes_prior_window"),
+        choice("sim_goals", positive("window_goals", START_GOALS)).cast("bigint").alias("_goals"),
+        choice("sim_assists", positive("window_assists", START_ASSISTS)).cast("bigint").alias("_assists"),
+        F.coalesce("p.minutes_prior_window", F.lit(START_PRIOR)).alias("minutes_prior_window"),
         F.coalesce("p.contrib_per_90_prior", F.lit(0.0)).alias("contrib_per_90_prior"),
         choice("sim_yellow_cards", F.col("p.window_yellow_cards")).cast("bigint").alias("yellow_cards_since_val"),
     )
@@ -245,10 +285,10 @@ def what_if(profiles: DataFrame, overrides: DataFrame, model, mae: float) -> Dat
         F.col("_goals") + F.col("_assists"), F.col("minutes_since_last_val"), cap=None, digits=2, half="even"
     )
     rows = inputs.withColumn("goal_contributions_per_90", at_most(rate, 4.0))
-    good, _ = quarantine(rows, scoring_rules())
+    good, bad = split_checked(rows, F.col("_known"))
     predicted = F.col("projected_eur")
     low, high = prediction_interval(predicted, mae)
-    return (
+    answers = (
         predict(good, model)
         .withColumn("projected_eur", round_half_even(F.col("_eur"), 2))
         .select(
@@ -262,10 +302,14 @@ def what_if(profiles: DataFrame, overrides: DataFrame, model, mae: float) -> Dat
             high.alias("high_eur"),
         )
     )
+    return answers, bad.select("player_id", "reason")
 
 
-def page_valuation(profiles: DataFrame, model, default_gap: int = 180) -> DataFrame:
-    """The profile page: anchored on the prior value, with growth against it."""
+def page_valuation(profiles: DataFrame, model, default_gap: int = 180) -> tuple[DataFrame, DataFrame]:
+    """The profile page: anchored on the prior value, with growth against it.
+
+    Returns (valued profiles, failures with a reason).
+    """
     gap = F.col("days_between_valuations")
     rows = profiles.withColumns(
         {
@@ -275,6 +319,6 @@ def page_valuation(profiles: DataFrame, model, default_gap: int = 180) -> DataFr
             "yellow_cards_since_val": F.col("window_yellow_cards"),
         }
     )
-    good, _ = quarantine(anchored_rows(rows, "prior_market_value_eur"), scoring_rules())
+    good, bad = split_checked(anchored_rows(rows, "prior_market_value_eur"))
     scored = score_rows(good, model, keep=["player_id", "last_known_value_eur", "target_market_value_eur"])
-    return projected_growth(scored, "predicted_market_value_eur", "last_known_value_eur")
+    return projected_growth(scored, "predicted_market_value_eur", "last_known_value_eur"), bad.select("player_id", "reason")
