@@ -89,7 +89,7 @@ def test_status_from_payload(spark):
 
 
 def test_scoring_stream(spark):
-    row = (1, 23.5, "Attack", "Left Winger", "right", "Arsenal FC", 5e7, 180, 1600, None, None, None, None, None)
+    row = (1, 33.25, "Keeper", "Sweeper", "both", "Riverside", 4e5, 41, 95, None, None, None, None, None)
     schema = type(schemas.SCORING_ROW)([*spark.range(0).withColumnRenamed("id", "player_id").schema.fields, *schemas.SCORING_ROW.fields])
     rows = [row, (2, 50.0, *row[2:])]
     path = write_table(spark.createDataFrame(rows, schema), fresh_path(spark, "in"))
@@ -124,3 +124,61 @@ def test_request_and_scenario_streams_against_profiles(spark):
     out = fresh_path(spark, "told")
     jobs.write_scores(told, out, fresh_path(spark, "c3")).awaitTermination()
     assert [r["player_id"] for r in spark.read.parquet(out).collect()] == [1]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 3])
+def test_replay_counts_every_row_of_shuffled_files(spark, log, files_per_batch):
+    path = write_table(log.orderBy(F.xxhash64("ts")), fresh_path(spark, "shuffled"), files=6)
+    live = jobs.read_stream(spark, jobs.file_or_folder(path), log.schema, files_per_batch=files_per_batch)
+    for by in ("handler", "status"):
+        job = lambda df: traffic.request_rate(df, by, "1 minute", delay=None)  # noqa: B023, E731
+        got = jobs.replay(spark, live, job, ["window_start", by], fresh_path(spark, "all"))
+        assert rows_of(got) == rows_of(job(log))
+    total = lambda df: traffic.prediction_total(df, "handler")
+    assert jobs.replay(spark, live, total, [], fresh_path(spark, "total")).collect() == total(log).collect()
+
+
+def test_replay_refuses_to_lose_rows(spark, log):
+    path = fresh_path(spark, "late")
+    for part, rule in enumerate(("ts >= '2024-01-01 00:10:00'", "ts < '2024-01-01 00:02:00'", "ts < '2024-01-01 00:01:00'")):
+        write_table(log.filter(rule), f"{path}/part={part}", files=1)
+    live = jobs.read_stream(spark, path, log.schema, files_per_batch=1)
+    with pytest.raises(ValueError, match="left out"):
+        jobs.replay(spark, live, lambda df: traffic.request_rate(df, "handler"), ["window_start", "handler"], fresh_path(spark, "lost"))
+
+
+def test_replay_of_nothing(spark, log):
+    path = write_table(log.limit(0), fresh_path(spark, "none"))
+    live = jobs.read_stream(spark, path, log.schema)
+    got = jobs.replay(spark, live, lambda df: traffic.request_rate(df, "handler"), ["window_start", "handler"], fresh_path(spark, "no"))
+    assert got.collect() == []
+
+
+def test_single_file_streams(spark, log):
+    path = write_table(log, fresh_path(spark, "one"), files=1)
+    name = next(r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect())
+    live = jobs.read_stream(spark, jobs.file_or_folder(name), log.schema)
+    total = lambda df: traffic.prediction_total(df, "handler", ".*")
+    assert jobs.replay(spark, live, total, [], fresh_path(spark, "n")).first()[0] == 400
+
+
+def test_keyed_requests_with_a_hot_id(spark):
+    """A third of the requests ask for one id; the profile table is not broadcast."""
+    from test_models import profile
+
+    profiles = spark.createDataFrame([profile(player_id=i) for i in range(50)], schemas.SERVING)
+    rows = spark.range(6000).selectExpr("id AS request_id", "IF(id % 3 = 0, 7, id % 60) AS player_id")
+    path = write_table(rows, fresh_path(spark, "hot"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live = jobs.read_stream(spark, path, rows.schema)
+        answers, failures = jobs.score_requests(live, profiles, FormulaModel("log_last_known_value"))
+        out, bad = fresh_path(spark, "out"), fresh_path(spark, "bad")
+        jobs.write_scores(answers, out, fresh_path(spark, "c")).awaitTermination()
+        jobs.write_scores(failures, bad, fresh_path(spark, "c")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    answered, failed = spark.read.parquet(out), spark.read.parquet(bad)
+    assert answered.count() + failed.count() == 6000
+    assert answered.filter("player_id = 7").count() == rows.filter("player_id = 7").count()

@@ -32,6 +32,7 @@ from tidemark.plans.audit import with_predictions
 from tidemark.plans.training import training_table
 from tidemark.registry import standin
 from tidemark.registry.sql import with_parts
+from tidemark.sources.schemas import SCORING_ROW
 from tidemark.sources.sinks import append_records, fresh_path, stage, write_csv
 from tidemark.streaming import traffic
 
@@ -78,10 +79,9 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "nth_latest",
-    """SELECT player_id, MAX(date) FILTER (rn = 1) AS date_1, MAX(date) FILTER (rn = 2) AS date_2,
-              MAX(val_eur) FILTER (rn = 1) AS market_value_in_eur_1,
-              MAX(val_eur) FILTER (rn = 2) AS market_value_in_eur_2
-       FROM ranked_valuations WHERE rn <= 2 GROUP BY player_id""",
+    """SELECT player_id, values[1].day AS date_1, values[2].day AS date_2,
+              values[1].eur AS market_value_in_eur_1, values[2].eur AS market_value_in_eur_2
+       FROM recent""",
 )
 def nth_latest(spark: SparkSession, d: str) -> DataFrame:
     order = [F.col(c).desc() for c in ("date", "market_value_in_eur", "current_club_name")]
@@ -550,14 +550,18 @@ def scenario_constraints(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("player_id", "scenario", F.array_join("violations", ",").alias("violations"))
 
 
+_CRITICAL = [*preprocessing.ModelSpec().numeric, *preprocessing.ModelSpec().categories, preprocessing.ModelSpec().target]
+
+
 @query(
     "null_counts",
-    """SELECT 'sub_position' AS "column", CAST(COUNT(*) - COUNT(sub_position) AS BIGINT) AS nulls FROM features
-       UNION ALL SELECT 'position', CAST(COUNT(*) - COUNT(position) AS BIGINT) FROM features
-       UNION ALL SELECT 'club_name', CAST(COUNT(*) - COUNT(club_name) AS BIGINT) FROM features""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS nulls FROM features""" for c in _CRITICAL
+    ),
 )
 def null_counts(spark: SparkSession, d: str) -> DataFrame:
-    return quality.null_counts(standin.features(spark, d), ["sub_position", "position", "club_name"])
+    """Of every input and the target."""
+    return quality.null_counts(standin.features(spark, d), _CRITICAL)
 
 
 @query(
@@ -691,45 +695,55 @@ def gate_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # --- model steps ---------------------------------------------------------------------
 
-_STATS_COLUMNS = ("age_at_valuation", "days_between_valuations", "minutes_since_last_val", "contrib_per_90_prior")
 
 
 @query(
     "preprocessing_stats",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", ROUND(CAST(MEDIAN({c}) AS DOUBLE), 6) AS median,
-                   ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_POP({c}), 6) AS std FROM features"""
-        for c in _STATS_COLUMNS
+        f"""SELECT '{c}' AS "column", ROUND(m, 6) AS median, ROUND(AVG(IFNULL(v, m)), 6) AS mean,
+                   ROUND(STDDEV_POP(IFNULL(v, m)), 6) AS std
+            FROM (SELECT v, MEDIAN(v) OVER () AS m
+                  FROM (SELECT IF(player_id % 5 = 0, NULL, CAST({c} AS DOUBLE)) AS v FROM features)) GROUP BY m"""
+        for c in preprocessing.ModelSpec().numeric
     ),
 )
 def preprocessing_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Medians, means and deviations of all numeric inputs, with nulls and NaN in each."""
+    spec = preprocessing.ModelSpec()
+    gone = F.when(F.col("player_id") % 10 == 0, F.lit(None)).when(F.col("player_id") % 5 == 0, F.lit(float("nan")))
     rows = standin.features(spark, d)
-    middle = preprocessing.medians(rows, _STATS_COLUMNS)
-    spread = preprocessing.moments(rows, {c: 0.0 for c in _STATS_COLUMNS})
-    return _rounded(middle.join(spread, "column"), median=6, mean=6, std=6)
+    holed = stage(rows.select([gone.otherwise(F.col(c).cast("double")).alias(c) for c in spec.numeric]), "holed")
+    stats = preprocessing.numeric_stats(holed, spec.numeric)
+    found = spark.createDataFrame([(c, *v) for c, v in stats.items()], "column string, median double, mean double, std double")
+    return _rounded(found, median=6, mean=6, std=6)
 
 
 @query(
     "one_hot_slots",
-    """SELECT 'club_name_' || club_name AS slot, CAST(COUNT(*) AS BIGINT) AS hits FROM training GROUP BY club_name
-       UNION ALL SELECT 'position_' || position, CAST(COUNT(*) AS BIGINT) FROM training GROUP BY position""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}_' || IFNULL({v}, 'unknown') AS slot, CAST(COUNT(*) AS BIGINT) AS hits FROM training GROUP BY {v}"""
+        for c in preprocessing.ModelSpec().categories
+        for v in [f"IF(player_id % 7 = 0, NULL, {c})"]
+    ),
 )
 def one_hot_slots(spark: SparkSession, d: str) -> DataFrame:
-    """How often each encoded slot is set: the encoder checked against plain counts."""
+    """How often each encoded slot is set, with a missing value in every category.
+
+    The slots are counted as one vector, merged from task to task; nothing is expanded
+    per row.
+    """
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    spec = preprocessing.ModelSpec(numeric=("age_at_valuation",), categories=("club_name", "position"))
+    spec = preprocessing.ModelSpec(numeric=("age_at_valuation",))
     rows = training_table(standin.features(spark, d))
+    rows = rows.withColumns({c: F.when(F.col("player_id") % 7 != 0, F.col(c)) for c in spec.categories})
     model = preprocessing.fit_preprocessor(rows, spec)
-    names = preprocessing.feature_names(model, spec)[1:]
-    slots = model.transform(rows).select(F.slice(vector_to_array("features"), 2, len(names)).alias("v"))
-    labels = F.array(*[F.lit(n) for n in names])
-    hit = F.filter(F.arrays_zip(labels.alias("slot"), F.col("v").alias("v")), lambda x: x["v"] > 0)
-    return (
-        slots.select(F.explode(hit).alias("h"))
-        .groupBy(F.col("h.slot").alias("slot"))
-        .agg(F.count(F.lit(1)).alias("hits"))
-    )
+    names = preprocessing.feature_names(model, spec)
+    labels = spark.createDataFrame([(i, n) for i, n in enumerate(names) if i], "place int, slot string")
+    counts = model.transform(rows).select(Summarizer.numNonZeros(F.col(spec.features)).alias("v"))
+    placed = counts.select(F.posexplode(vector_to_array("v")).alias("place", "hits"))
+    return placed.join(labels, "place").filter("hits > 0").select("slot", F.col("hits").cast("bigint").alias("hits"))
 
 
 _LOG_SQL = "0.9 * log_last_known_value + 0.05 * age_at_valuation + 0.01 * goal_contributions_per_90"
@@ -788,6 +802,23 @@ def _score_sql(value: str = "target_market_value_eur", age: str = "age_at_valuat
     return _SCORED_LOG.format(value=value, age=age, rate=rate)
 
 
+def _broken_sql() -> str:
+    """The broken rules by name, in the order they are stated."""
+    rules = {
+        "age_at_valuation": "age_at_valuation BETWEEN 15 AND 45",
+        **{c: f"{c} IS NOT NULL" for c in ("position", "sub_position", "dominant_foot", "club_name")},
+        "last_known_value_eur": "target_market_value_eur > 0",
+        "days_between_valuations": "days_between_valuations BETWEEN 1 AND 1000",
+    }
+    marks = ", ".join(f"IF(COALESCE({ok}, FALSE), NULL, '{name}')" for name, ok in rules.items())
+    return f"CONCAT_WS(',', {marks})"
+
+
+# Columns of a checked payload element, as they follow from element i.
+_PAYLOAD_COLUMNS = """IF(i = 1, 99, age_at_valuation) AS age_at_valuation, position, sub_position, dominant_foot, club_name,
+               IF(i = 2, -5, target_market_value_eur) AS target_market_value_eur, days_between_valuations,
+               goal_contributions_per_90"""
+
 _SCORABLE = "age_at_valuation BETWEEN 15 AND 45 AND target_market_value_eur > 0 AND days_between_valuations BETWEEN 1 AND 1000"
 
 
@@ -820,10 +851,11 @@ def keyed_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "payload_score",
-    f"""SELECT ROUND_EVEN(GREATEST(EXP(x) - 1, 0), 2) AS predicted_market_value_eur,
+    f"""SELECT request_id, i AS position_in_request, ROUND_EVEN(GREATEST(EXP(x) - 1, 0), 2) AS predicted_market_value_eur,
                ROUND_EVEN(x, 4) AS log_market_value, 'EUR' AS valuation_currency, 'formula-v1' AS model_version
-        FROM (SELECT {_score_sql()} AS x FROM serving
-              UNION ALL SELECT {_score_sql("prior_market_value_eur")} FROM serving)""",
+        FROM (SELECT player_id AS request_id, 0 AS i, {_score_sql()} AS x FROM serving WHERE {_SCORABLE}
+              UNION ALL SELECT player_id, 1, {_score_sql("prior_market_value_eur")} FROM serving
+              WHERE {_SCORABLE.replace("target_market", "prior_market")})""",
 )
 def payload_score(spark: SparkSession, d: str) -> DataFrame:
     """One request per profile, with two rows: from the current and from the prior value."""
@@ -833,13 +865,13 @@ def payload_score(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(*[named.get(c, F.col(c)).alias(c) for c in scoring_columns()])
 
     anchors = ("target_market_value_eur", "prior_market_value_eur")
-    requests = standin.serving(spark, d).select(F.array(*[row(a) for a in anchors]).alias("players"))
-    return scoring.score_payloads(requests, MODEL, "formula-v1")
+    requests = standin.serving(spark, d).select(
+        F.col("player_id").alias("request_id"), F.array(*[row(a) for a in anchors]).alias("players")
+    )
+    return scoring.score_payloads(requests, MODEL, "formula-v1")[0]
 
 
 def scoring_columns() -> list[str]:
-    from tidemark.sources.schemas import SCORING_ROW
-
     return SCORING_ROW.names
 
 
@@ -926,7 +958,7 @@ def what_if(spark: SparkSession, d: str) -> DataFrame:
         (F.col("age_at_valuation") + 1).alias("sim_age"),
         (F.col("target_market_value_eur") * 1.5).alias("sim_value"),
     )
-    answers = scoring.what_if(profiles, overrides, MODEL, mae=50_000.0)
+    answers, _ = scoring.what_if(profiles, overrides, MODEL, mae=50_000.0)
     return _rounded(answers, shift_eur=2, shift_pct=4, low_eur=2, high_eur=2)
 
 
@@ -942,20 +974,113 @@ def what_if(spark: SparkSession, d: str) -> DataFrame:
                       AND days_between_valuations <= 1000))""",
 )
 def page_valuation(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(scoring.page_valuation(_profiles(spark, d), MODEL), growth_eur=2, growth_pct=4)
+    return _rounded(scoring.page_valuation(_profiles(spark, d), MODEL)[0], growth_eur=2, growth_pct=4)
+
+
+# What is not answered, with its reason: asked = answered + failed.
+
+
+@query(
+    "keyed_failures",
+    f"""SELECT player_id, CASE WHEN p.player_id IS NULL THEN 'unknown id' ELSE {_broken_sql()} END AS reason
+        FROM (SELECT DISTINCT o_custkey * 2 AS player_id FROM orders) LEFT JOIN profiles p USING (player_id)
+        WHERE p.player_id IS NULL OR NOT ({_SCORABLE})""",
+)
+def keyed_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of which half do not exist."""
+    ids = standin.table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("player_id"))
+    return scoring.score_ids(ids, _profiles(spark, d), MODEL, "formula-v1")[1]
+
+
+_PAYLOAD = f"""(SELECT player_id AS request_id, i, {_PAYLOAD_COLUMNS}
+        FROM profiles, (SELECT UNNEST([0, 1, 2]) AS i))"""
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Three elements a request: as the profile is, too old, and with a value below 0."""
+
+    def row(age: Column, value: Column) -> Column:
+        own = {
+            "age_at_valuation": age,
+            "last_known_value_eur": value,
+            "yellow_cards_since_val": F.lit(None).cast("int"),
+        }
+        return F.struct(*[own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in SCORING_ROW.fields])
+
+    age, value = F.col("age_at_valuation"), F.col("target_market_value_eur").cast("double")
+    rows = F.array(row(age, value), row(F.lit(99.0), value), row(age, F.lit(-5.0)))
+    return _profiles(spark, d).select(F.col("player_id").alias("request_id"), rows.alias("players"))
+
+
+@query(
+    "payload_answers",
+    f"""SELECT request_id, i AS position_in_request, ROUND_EVEN(GREATEST(EXP(x) - 1, 0), 2) AS predicted_market_value_eur,
+               ROUND_EVEN(x, 4) AS log_market_value, 'EUR' AS valuation_currency, 'formula-v1' AS model_version
+        FROM (SELECT *, {_score_sql()} AS x FROM {_PAYLOAD} WHERE {_SCORABLE})""",
+)
+def payload_answers(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_payloads(_payloads(spark, d), MODEL, "formula-v1")[0]
+
+
+@query("payload_failures", f"SELECT request_id, i AS position_in_request, {_broken_sql()} AS reason FROM {_PAYLOAD} WHERE NOT ({_SCORABLE})")
+def payload_failures(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_payloads(_payloads(spark, d), MODEL, "formula-v1")[1]
+
+
+@query(
+    "scenario_failures",
+    """SELECT s.player_id, minutes AS scenario,
+              CASE WHEN minutes > 4500 THEN 'simulated_minutes' WHEN p.player_id IS NULL THEN 'unknown id'
+                   ELSE 'age_at_valuation' END AS reason
+       FROM (SELECT o_orderkey AS player_id, CAST(o_totalprice AS BIGINT) % 6000 AS minutes FROM orders) s
+       LEFT JOIN profiles p ON p.player_id = s.player_id
+       WHERE minutes > 4500 OR p.player_id IS NULL
+          OR p.age_at_valuation + 180 / CAST(365.25 AS DOUBLE) NOT BETWEEN 15 AND 45""",
+)
+def scenario_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Scenarios without a club, for ids most of which do not exist."""
+    minutes = long_from_double(F.col("o_totalprice")) % 6000
+    asked = standin.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("player_id"), minutes.alias("scenario"), minutes.cast("int").alias("simulated_minutes")
+    )
+    return scoring.simulate(_profiles(spark, d), asked, MODEL, ["scenario"])[1]
+
+
+@query(
+    "what_if_failures",
+    """SELECT o_orderkey AS player_id,
+              CASE WHEN s.player_id IS NULL THEN 'unknown id' ELSE 'age_at_valuation' END AS reason
+       FROM orders LEFT JOIN serving s ON s.player_id = o_orderkey
+       WHERE s.player_id IS NULL OR s.age_at_valuation + 20 > 45""",
+)
+def what_if_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Every known profile twenty years older, and ids that do not exist."""
+    profiles = standin.serving(spark, d)
+    older = profiles.select("player_id", (F.col("age_at_valuation") + 20).alias("sim_age"))
+    asked = standin.table(spark, d, "orders").select(F.col("o_orderkey").alias("player_id")).join(older, "player_id", "left")
+    return scoring.what_if(profiles, asked, MODEL, mae=50_000.0)[1]
 
 
 # --- training: real fits, checked by rows only ---------------------------------------
 
 
+# A configuration of their own for the registered queries, whose fits end in seconds; the
+# default candidates are those of tournament.CANDIDATES.
+SMALL_CANDIDATES = {
+    "Boosted": {"kind": "gbt", "lossType": "squared", "maxIter": 10, "stepSize": 0.2, "maxDepth": 4},
+    "BoostedAbsolute": {"kind": "gbt", "lossType": "absolute", "maxIter": 10, "stepSize": 0.2, "maxDepth": 4},
+    "RandomForest": {"kind": "forest", "numTrees": 20, "maxDepth": 8},
+}
+
+
 @query("tournament")
 def tournament(spark: SparkSession, d: str) -> DataFrame:
-    """Leaderboard of all candidates on the whole table, with small forests."""
+    """Leaderboard of the small candidates on the whole table."""
     from tidemark.operators.tournament import leaderboard, make_candidates
 
     rows = stage(training_table(standin.features(spark, d)), "training_rows")
     train, val, _ = split.chronological_split(rows)
-    return leaderboard(train, val, make_candidates(max_trees=3), "check")
+    return leaderboard(train, val, make_candidates(SMALL_CANDIDATES), "check")
 
 
 @query("champion_scores")
@@ -963,11 +1088,12 @@ def champion_scores(spark: SparkSession, d: str) -> DataFrame:
     """Winner fitted on train and validation, saved, loaded back, scoring the test period."""
     from pyspark.ml import PipelineModel
 
-    from tidemark.operators.tournament import fit_model, make_candidates
+    from tidemark.operators.tournament import champion_of, fit_model, leaderboard, make_candidates
 
     rows = stage(training_table(standin.features(spark, d)), "training_rows")
     train, val, test = split.chronological_split(rows)
-    candidate = make_candidates(max_trees=3)["GradientBoosting"]
+    candidates = make_candidates(SMALL_CANDIDATES)
+    candidate = candidates[champion_of(leaderboard(train, val, candidates, "check")).first()["model"]]
     path = fresh_path(spark, "model")
     fit_model(train.unionByName(val), candidate).write().overwrite().save(path)
     scored = PipelineModel.load(path).transform(test)
@@ -1014,6 +1140,18 @@ def status_rate(spark: SparkSession, d: str) -> DataFrame:
     return traffic.request_rate(standin.request_log(spark, d), "status", "1 hour")
 
 
+@query(
+    "request_rate_sliding",
+    """SELECT start AS window_start, handler, COUNT(*) AS requests, COUNT(*) / 3600.0::DOUBLE AS rate
+       FROM (SELECT handler, UNNEST([TIME_BUCKET(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE,
+                                     TIME_BUCKET(INTERVAL 30 MINUTE, ts)]) AS start FROM requests)
+       GROUP BY ALL""",
+)
+def request_rate_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of an hour, one every half hour."""
+    return traffic.request_rate(standin.request_log(spark, d), "handler", "1 hour", slide="30 minutes")
+
+
 _BUCKETS = """SELECT TIME_BUCKET(INTERVAL 1 DAY, ts) AS window_start, handler,
                      COUNT(*) FILTER (latency <= 0.1) AS b1, COUNT(*) FILTER (latency <= 0.5) AS b2,
                      COUNT(*) FILTER (latency <= 1.0) AS b3, COUNT(latency) AS n
@@ -1055,12 +1193,12 @@ def prediction_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _live_log(spark: SparkSession, d: str) -> DataFrame:
-    from tidemark.streaming.jobs import read_stream
+    from tidemark.streaming.jobs import file_or_folder, read_stream
 
     schema = standin.table(spark, d, "events").schema
-    live = read_stream(spark, d, schema, glob="events.parquet")
-    return live.select(
-        "ts", F.concat(F.lit("/"), F.col("event_type")).alias("handler"), (F.col("value") / 400).alias("latency")
+    live = read_stream(spark, file_or_folder(f"{d}/events.parquet"), schema)
+    return traffic.with_status(live).select(
+        "ts", F.concat(F.lit("/"), F.col("event_type")).alias("handler"), (F.col("value") / 400).alias("latency"), "status"
     )
 
 
@@ -1072,12 +1210,33 @@ def stream_request_rate(spark: SparkSession, d: str) -> DataFrame:
     return replay(
         spark,
         _live_log(spark, d),
-        lambda log: traffic.request_rate(log, "handler", "1 hour"),
+        lambda log: traffic.request_rate(log, "handler", "1 hour", delay=None),
         ["window_start", "handler"],
         fresh_path(spark, "request_rate"),
     )
 
 
+@query("stream_status_rate", SQL["status_rate"])
+def stream_status_rate(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.streaming.jobs import replay
+
+    return replay(
+        spark,
+        _live_log(spark, d),
+        lambda log: traffic.request_rate(log, "status", "1 hour", delay=None),
+        ["window_start", "status"],
+        fresh_path(spark, "status_rate"),
+    )
+
+
+@query("stream_prediction_total", SQL["prediction_total"])
+def stream_prediction_total(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.streaming.jobs import replay
+
+    total = lambda log: traffic.prediction_total(log, "handler", "/p.*")
+    return replay(spark, _live_log(spark, d), total, [], fresh_path(spark, "prediction_total"))
+
+
 @query("stream_latency_p95", SQL["latency_p95"])
 def stream_latency_p95(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.streaming.jobs import replay
@@ -1085,7 +1244,7 @@ def stream_latency_p95(spark: SparkSession, d: str) -> DataFrame:
     buckets = replay(
         spark,
         _live_log(spark, d),
-        lambda log: traffic.latency_buckets(log, "handler", "latency", width="1 day"),
+        lambda log: traffic.latency_buckets(log, "handler", "latency", width="1 day", delay=None),
         ["window_start", "handler"],
         fresh_path(spark, "latency_p95"),
     )
@@ -1117,9 +1276,9 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_keyed_score(spark: SparkSession, d: str) -> DataFrame:
     """Every order asks for the value of its customer: a stream against a static table."""
-    from tidemark.streaming.jobs import read_stream, score_requests, write_scores
+    from tidemark.streaming.jobs import file_or_folder, read_stream, score_requests, write_scores
 
-    live = read_stream(spark, d, standin.table(spark, d, "orders").schema, glob="orders.parquet")
+    live = read_stream(spark, file_or_folder(f"{d}/orders.parquet"), standin.table(spark, d, "orders").schema)
     requests = live.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("player_id"))
     answers, _ = score_requests(requests, _profiles(spark, d), MODEL, "formula-v1")
     base = fresh_path(spark, "stream_keyed_score")

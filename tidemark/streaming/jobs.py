@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,11 @@ from tidemark.operators.scoring import DEFAULT_VERSION, anchored_rows, score_row
 from tidemark.sources.schemas import SCORING_ROW
 
 
+def file_or_folder(path: str) -> str:
+    """A pattern that only ``path`` matches: streams read single files through patterns only."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read_stream(
     spark: SparkSession,
     directory: str,
@@ -44,8 +50,14 @@ def run_updates(df: DataFrame, out: str, checkpoint: str, available_now: bool =
 
 
 def latest_updates(spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    """Newest version of each aggregate row."""
-    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    """Newest version of each aggregate row; none if no batch was written."""
+    marked = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        written = spark.read.schema(marked).parquet(out)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     values = [c for c in schema.names if c not in keys]
     return (
         written.groupBy(*keys)
@@ -62,9 +74,17 @@ def replay(
     keys: Sequence[str],
     out: str,
 ) -> DataFrame:
-    """Run an aggregation over all files a stream has now, and return its last state."""
+    """Run an aggregation over all files a stream has now, and return its last state.
+
+    The files are finite but come in any order, so the aggregation should have no
+    watermark; one that left rows out as too late is an error.
+    """
     result = transform(source)
-    run_updates(result, f"{out}/updates", f"{out}/checkpoint").awaitTermination()
+    job = run_updates(result, f"{out}/updates", f"{out}/checkpoint")
+    job.awaitTermination()
+    late = sum(s.numRowsDroppedByWatermark for p in job.recentProgress for s in p.stateOperators)
+    if late:
+        raise ValueError(f"the watermark left out {late} rows; replay without one")
     return latest_updates(spark, f"{out}/updates", result.schema, keys)
 
 
