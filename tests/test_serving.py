@@ -155,9 +155,9 @@ def test_directory_and_options(spark, raw, settings):
 
 def test_quarantine_and_defaults(spark):
     sample = dict(
-        age_at_valuation=23.5, position="Attack", sub_position="Left Winger", dominant_foot="right",
-        club_name="Arsenal FC", last_known_value_eur=5e7, days_between_valuations=180,
-        minutes_since_last_val=1600,
+        age_at_valuation=29.75, position="Keeper", sub_position="Sweeper", dominant_foot="both",
+        club_name="Riverside", last_known_value_eur=8.5e5, days_between_valuations=77,
+        minutes_since_last_val=12,
     )
     rows = [sample, {**sample, "age_at_valuation": 46.0, "days_between_valuations": 0}, {**sample, "club_name": None}]
     wanted = [f for f in schemas.SCORING_ROW.fields if f.name in sample]
@@ -216,14 +216,14 @@ def test_fallback_chain(spark, tmp_path, settings):
 
 
 def test_documents(spark, tmp_path):
-    defaults = {"model_name": "LightGBM", "test_mae": 3094428.0, "test_rmse": 5019762.0, "test_r2": 0.9528}
+    defaults = {"model_name": "Base", "test_mae": 12.5, "test_rmse": 20.0, "test_r2": 0.25}
     read = lambda p: readers.read_document(spark, str(p), schemas.CHAMPION, defaults).collect()
-    assert read(tmp_path / "none.json")[0]["test_mae"] == 3094428.0
+    assert read(tmp_path / "none.json")[0]["test_mae"] == 12.5
     (tmp_path / "bad.json").write_text("{not json")
-    assert [r["model_name"] for r in read(tmp_path / "bad.json")] == ["LightGBM"]
+    assert [r["model_name"] for r in read(tmp_path / "bad.json")] == ["Base"]
     (tmp_path / "good.json").write_text(json.dumps({"model_name": "X", "test_mae": 1.0}, indent=2))
     row = read(tmp_path / "good.json")[0]
-    assert (row["model_name"], row["test_mae"], row["test_r2"], row["model_version"]) == ("X", 1.0, 0.9528, None)
+    assert (row["model_name"], row["test_mae"], row["test_r2"], row["model_version"]) == ("X", 1.0, 0.25, None)
 
     board = {"A": {"val_mae": 2.0, "val_rmse": 1.0, "val_r2": 0.5}, "B": {"val_rmse": 1.0}}
     (tmp_path / "board.json").write_text(json.dumps(board, indent=2))

@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import signed_percent
 
-# Largest array one row is expanded through; more copies are split over tasks first.
+# Largest array one row is expanded through.
 COPIES_PER_STEP = 100_000
-NO_DATE = dt.date(9999, 12, 31)
 
 
 def repeat_rows(df: DataFrame, count: str, step: int = COPIES_PER_STEP) -> DataFrame:
     """Each row ``count`` times, numbered from 1 in ``copy``.
 
-    Rows repeated more than ``step`` times are cut into steps and spread over the
-    cluster, so a heavily repeated row is not expanded by one task.
+    Copies are made in steps, spread over the cluster by row and step, so a heavily
+    repeated row is not expanded by one task.
     """
-    few = df.filter(F.col(count) <= step).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count)))
-    )
     starts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / F.lit(step)))
-    many = (
-        df.filter(F.col(count) > step)
-        .withColumn("_step", F.explode(starts))
-        .repartition("_step")
+    return (
+        df.withColumn("_step", F.explode(starts))
+        .repartition(*df.columns, "_step")
         .withColumn(
             "copy",
             F.explode(
@@ -39,7 +32,6 @@ def repeat_rows(df: DataFrame, count: str, step: int = COPIES_PER_STEP) -> DataF
         )
         .drop("_step")
     )
-    return few.unionByName(many)
 
 
 def snapshot_history(
@@ -57,10 +49,9 @@ def snapshot_history(
     over one row per (entity, day). So neither a busy entity nor a mass of copies meets
     in one window partition.
     """
-    # An undated snapshot comes last, as under NULLS LAST.
     rows = snapshots.filter(F.col(key).isNotNull()).select(
         F.col(key),
-        F.coalesce(F.col(date), F.lit(NO_DATE)).alias("valuation_date"),
+        F.col(date).alias("valuation_date"),
         F.col(value).alias("market_value_eur"),
         F.coalesce(F.col(group), F.lit(unknown_group)).alias("club_name"),
     )
@@ -74,11 +65,14 @@ def snapshot_history(
     # A struct keeps "the previous value is null" apart from "there is no previous row".
     spot = F.struct(F.col("market_value_eur").alias("v"), F.col("club_name").alias("g"))
     days = combos.groupBy(key, "valuation_date").agg(F.max(spot).alias("_last"))
-    over_days = Window.partitionBy(key).orderBy("valuation_date")
+    # An undated snapshot comes last.
+    over_days = Window.partitionBy(key).orderBy(F.col("valuation_date").asc_nulls_last())
     days = days.withColumn("_day_before", F.lag("_last").over(over_days)).drop("_last")
 
     in_day = Window.partitionBy(key, "valuation_date").orderBy("market_value_eur", "club_name")
-    chained = combos.join(days, [key, "valuation_date"]).withColumn(
+    days = days.select(F.col(key).alias("_key"), F.col("valuation_date").alias("_date"), "_day_before")
+    same_day = (F.col(key) == F.col("_key")) & F.col("valuation_date").eqNullSafe(F.col("_date"))
+    chained = combos.join(days, same_day).drop("_key", "_date").withColumn(
         "_before", F.coalesce(F.lag(spot).over(in_day), F.col("_day_before"))
     )
     copies = repeat_rows(chained, "_copies")
@@ -87,7 +81,7 @@ def snapshot_history(
     delta = F.col("market_value_eur") - base
     return copies.select(
         key,
-        F.nullif(F.col("valuation_date"), F.lit(NO_DATE)).alias("valuation_date"),
+        "valuation_date",
         "market_value_eur",
         "club_name",
         F.coalesce(delta, F.lit(0)).alias("val_change_eur"),
@@ -95,6 +89,12 @@ def snapshot_history(
     )
 
 
+def history_with_fallback(snapshots: DataFrame, features: DataFrame, key: str = "player_id") -> DataFrame:
+    """The history from snapshots; of entities without any, the one from features."""
+    rest = features.join(snapshots.select(key).distinct(), key, "left_anti")
+    return snapshot_history(snapshots, key).unionByName(history_from_features(rest, key))
+
+
 def history_from_features(features: DataFrame, key: str = "player_id") -> DataFrame:
     """The same history from the feature table, for when raw snapshots are missing."""
     return snapshot_history(

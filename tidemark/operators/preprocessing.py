@@ -30,14 +30,16 @@ class ModelSpec:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, median): exact, without holding a column in one buffer."""
-    melted = melt(df, [], columns, "double")
+    """(column, median): exact, without holding a column in one buffer; NaN is a missing value."""
+    melted = melt(df, [], columns, "double").filter(~F.isnan("value"))
     return exact_quantile(melted, ["column"], "value", 0.5, "median", "column", columns)
 
 
 def moments(df: DataFrame, fills: dict[str, float]) -> DataFrame:
-    """(column, mean, std): after filling nulls, with the population deviation."""
-    filled = df.select([F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c) for c, v in fills.items()])
+    """(column, mean, std): after filling nulls and NaN, with the population deviation."""
+    filled = df.select(
+        [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(v)).alias(c) for c, v in fills.items()]
+    )
     row = filled.agg(
         *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in fills]
     )
@@ -60,7 +62,7 @@ def _scaled_sql(name: str, stats: tuple[float, float, float]) -> str:
     median, mean, std = stats
     # A constant column is centred only.
     return (
-        f"(coalesce(CAST(`{name}` AS DOUBLE), {_double(median)}) - {_double(mean)})"
+        f"(coalesce(nanvl(CAST(`{name}` AS DOUBLE), CAST(NULL AS DOUBLE)), {_double(median)}) - {_double(mean)})"
         f" / {_double(std or 1.0)} AS `{name}__scaled`"
     )
 

@@ -49,17 +49,13 @@ LEADERBOARD = T.StructType(
 def make_candidates(
     config: Mapping[str, Mapping[str, object]] = CANDIDATES,
     spec: ModelSpec = ModelSpec(),
-    max_trees: int | None = None,
 ) -> dict[str, Estimator]:
-    """The configured regressors only; ``max_trees`` bounds their size for short runs."""
-    kinds = {"gbt": (GBTRegressor, "maxIter"), "forest": (RandomForestRegressor, "numTrees")}
+    """The configured regressors only."""
+    kinds = {"gbt": GBTRegressor, "forest": RandomForestRegressor}
     out = {}
     for name, entry in config.items():
         params = dict(entry)
-        make, size = kinds[params.pop("kind")]
-        if max_trees is not None:
-            params[size] = min(int(params[size]), max_trees)
-        out[name] = make(
+        out[name] = kinds[params.pop("kind")](
             featuresCol=spec.features,
             labelCol=spec.target,
             predictionCol=spec.prediction,

@@ -11,7 +11,7 @@ from tidemark.config import Settings
 from tidemark.functions.dates import age_years, days_between, month_label
 from tidemark.functions.numeric import rate_per, whole_parts
 from tidemark.functions.text import capitalize, is_web_address
-from tidemark.operators.history import history_from_features, snapshot_history
+from tidemark.operators.history import history_from_features, history_with_fallback, snapshot_history
 from tidemark.operators.latest import newest_known, newest_per_key, newest_two, value_at_newest
 from tidemark.operators.quality import distinct_sorted
 from tidemark.operators.scoring import unknown_ids  # noqa: F401  (part of this module's surface)
@@ -19,17 +19,11 @@ from tidemark.sources.raw import RawTables, typed_valuations
 from tidemark.sources.readers import read_first_available, read_table, read_wide_csv
 from tidemark.sources.schemas import CATALOG, HISTORY, SERVING, VALUATIONS
 
-# Names longer than a literal list should be are matched through a join instead.
-LITERAL_LIST_LIMIT = 200
-
-
 def in_names(df: DataFrame, column: str, names: Sequence[str] | DataFrame) -> DataFrame:
-    """Rows whose ``column`` is in a short literal list or in a one-column frame."""
+    """Rows whose ``column`` is in a list of names or, for lists that grow, in a one-column frame."""
     if isinstance(names, DataFrame):
         listed = names.toDF(column).distinct()
         return df.join(listed, column, "left_semi")
-    if len(names) > LITERAL_LIST_LIMIT:
-        return in_names(df, column, df.sparkSession.createDataFrame([(n,) for n in names], "name string"))
     return df.filter(F.col(column).isin(*names))
 
 
@@ -366,12 +360,17 @@ def load_catalog(
 
 
 def load_history(spark: SparkSession, raw_history: str, features_path: str) -> DataFrame:
-    """History from raw snapshots, else from features, else empty."""
-    def from_raw(s: SparkSession) -> DataFrame:
-        return snapshot_history(typed_valuations(read_wide_csv(s, raw_history, VALUATIONS)))
+    """History from raw snapshots, for entities without any from features; else empty."""
+
+    def snapshots(s: SparkSession) -> DataFrame:
+        return typed_valuations(read_wide_csv(s, raw_history, VALUATIONS))
 
     return read_first_available(
         spark,
-        [from_raw, lambda s: history_from_features(read_table(s, features_path))],
+        [
+            lambda s: history_with_fallback(snapshots(s), read_table(s, features_path)),
+            lambda s: snapshot_history(snapshots(s)),
+            lambda s: history_from_features(read_table(s, features_path)),
+        ],
         HISTORY,
     )

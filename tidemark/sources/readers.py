@@ -79,7 +79,9 @@ def read_document(
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return blank
-    good = doc.filter(F.col("_bad").isNull()).drop("_bad").limit(1)
+    # Of several files in a folder the last one by name counts.
+    good = doc.withColumn("_path", F.col("_metadata.file_path")).filter(F.col("_bad").isNull())
+    good = good.orderBy(F.col("_path").desc()).limit(1).drop("_bad", "_path")
     # Left join from the always-present default row on a constant key.
     good = good.select(F.lit(0).alias("_k"), F.struct("*").alias("_d"))
     joined = blank.select(F.lit(0).alias("_k"), F.struct("*").alias("_blank")).join(good, "_k", "left")
@@ -103,13 +105,16 @@ def read_map_document(spark: SparkSession, path: str, kind: T.MapType) -> DataFr
 def missing_tables(spark: SparkSession, directory: str, names: Sequence[str], suffix: str) -> list[str]:
     """Names of required tables that are absent from ``directory``.
 
-    Goes through Hadoop's file system layer, so any store Spark can read works.
+    Each is opened as plain files without reading any, so any store Spark can read works.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def absent(name: str) -> bool:
-        path = jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}{suffix}")
-        return not path.getFileSystem(conf).exists(path)
+        try:
+            spark.read.format("binaryFile").load(f"{directory}/{name}{suffix}")
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return True
+        return False
 
     return [name for name in names if absent(name)]

@@ -30,7 +30,7 @@ PLAYERS = _schema(
 )
 APPEARANCES = _schema(
     appearance_id=_text,
-    player_id=_long,
+    player_id=_text,
     player_club_id=_long,
     date=_text,
     competition_id=_text,

@@ -13,11 +13,15 @@ _local_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    runs, tests) is a temporary folder chosen, and then kept for the session.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a session that runs in one
+    process (local runs, tests) gets a temporary folder of its own; any other is refused,
+    as its executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_folders:
             _local_folders[app] = tempfile.mkdtemp(prefix="tidemark-")
