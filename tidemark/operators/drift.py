@@ -235,6 +235,13 @@ def drift_gate(
     )
 
 
+def save_gate(tests: DataFrame, path: str) -> DataFrame:
+    """Write the gate's summary as one JSON document and return it as read back."""
+    summary = gate_summary(tests)
+    summary.coalesce(1).write.mode("overwrite").json(path)
+    return tests.sparkSession.read.schema(summary.schema).json(path)
+
+
 def gate_summary(tests: DataFrame, statuses: Sequence[str] = ("SUCCESS", "WARNING", "FAIL")) -> DataFrame:
     """One row: all_passed, totals and a map of status to count."""
     passed = F.count_if(F.col("status") == "SUCCESS")

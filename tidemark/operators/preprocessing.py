@@ -78,6 +78,9 @@ def fit_preprocessor(df: DataFrame, spec: ModelSpec = ModelSpec()) -> PipelineMo
     scaled = [_scaled_sql(c, stats[c]) for c in spec.numeric]
     filled = [f"coalesce(`{c}`, '{UNKNOWN}') AS `{c}__filled`" for c in spec.categories]
     prepare = SQLTransformer(statement=f"SELECT *, {', '.join(scaled + filled)} FROM __THIS__")
+    if not spec.categories:
+        numbers = VectorAssembler(inputCols=[f"{c}__scaled" for c in spec.numeric], outputCol=spec.features)
+        return PipelineModel([prepare, numbers])
     prepared = prepare.transform(df)
     indexer = StringIndexer(
         inputCols=[f"{c}__filled" for c in spec.categories],
@@ -100,6 +103,6 @@ def fit_preprocessor(df: DataFrame, spec: ModelSpec = ModelSpec()) -> PipelineMo
 
 def feature_names(preprocessor: PipelineModel, spec: ModelSpec = ModelSpec()) -> list[str]:
     """Name of each slot of the assembled vector."""
-    labels = preprocessor.stages[1].labelsArray
+    labels = preprocessor.stages[1].labelsArray if spec.categories else []
     onehot = [f"{c}_{v}" for c, values in zip(spec.categories, labels) for v in values]
     return list(spec.numeric) + onehot

@@ -176,6 +176,14 @@ def save_leaderboard(board: DataFrame, path: str) -> str:
     return append_records(board, path)
 
 
+def board_document(rows: DataFrame, run_id: str) -> DataFrame:
+    """One run of saved leaderboard rows as the map that ``ranked_board`` takes."""
+    scores = F.struct(F.col("mae").alias("val_mae"), F.col("rmse").alias("val_rmse"), F.col("r2").alias("val_r2"))
+    entry = F.struct(F.col("model"), scores.alias("scores"))
+    # As many entries as the run has candidates.
+    return rows.filter(F.col("run_id") == run_id).agg(F.map_from_entries(F.collect_list(entry)).alias("entries"))
+
+
 def ranked_board(metrics: DataFrame, champion: str, missing: float = 99999999.0) -> DataFrame:
     """Candidates by validation error (missing counts as very large), champion marked.
 

@@ -693,6 +693,18 @@ def gate_summary(spark: SparkSession, d: str) -> DataFrame:
     return drift.gate_summary(drift.drift_gate(_periods(spark, d))).drop("by_status")
 
 
+@query(
+    "drift_document",
+    """SELECT (SELECT BOOL_AND(status = 'SUCCESS') FROM gate_tests) AS all_passed,
+              (SELECT COUNT(*) FROM gate_tests) AS total_tests, status, COUNT(*) AS tests
+       FROM gate_tests GROUP BY status""",
+)
+def drift_document(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's summary stored as one document, with its counts by status."""
+    stored = drift.save_gate(drift.drift_gate(_periods(spark, d)), fresh_path(spark, "gate"))
+    return stored.select("all_passed", "total_tests", F.explode("by_status").alias("status", "tests"))
+
+
 # --- model steps ---------------------------------------------------------------------
 
 
@@ -1100,6 +1112,111 @@ def champion_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("player_id", "valuation_date", value_from_log(F.col("prediction")).alias("predicted_eur"))
 
 
+# Candidates whose fit has a closed form: the mean, and the line through one input.
+
+_CLOSED_SQL = """SELECT {columns} FROM (
+      SELECT model, ROUND(AVG(ABS(y - p)), 2) AS mae, ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
+             ROUND(1 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(*)), 6) AS r2
+      FROM (SELECT model, EXP(t) - 1 AS y, GREATEST(EXP(a + b * x) - 1, 0) AS p
+            FROM (SELECT log_target_market_value AS t, log_last_known_value AS x FROM training, training_bounds WHERE {scored}),
+                 (SELECT 'Mean' AS model, AVG(log_target_market_value) AS a, 0 AS b FROM training, training_bounds WHERE {fitted}
+                  UNION ALL
+                  SELECT 'Line', REGR_INTERCEPT(log_target_market_value, log_last_known_value),
+                         REGR_SLOPE(log_target_market_value, log_last_known_value) FROM training, training_bounds WHERE {fitted}))
+      GROUP BY model)"""
+_VALIDATED = "valuation_date >= val_start AND valuation_date < test_start"
+
+
+def _closed_sql(columns: str, fitted: str, scored: str) -> str:
+    return _CLOSED_SQL.format(columns=columns, fitted=fitted, scored=scored)
+
+
+def _closed(spark: SparkSession, d: str):
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    spec = preprocessing.ModelSpec(numeric=("log_last_known_value",), categories=())
+    named = {"featuresCol": spec.features, "labelCol": spec.target, "predictionCol": spec.prediction}
+    made = {"Mean": DecisionTreeRegressor(maxDepth=0, **named), "Line": LinearRegression(solver="normal", **named)}
+    rows = standin.staged(spark, d, "training_rows", lambda: training_table(standin.features(spark, d)))
+    return spec, made, split.chronological_split(rows)
+
+
+@query("tournament_closed", _closed_sql("model, mae, rmse, r2", "valuation_date < val_start", _VALIDATED))
+def tournament_closed(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.tournament import leaderboard
+
+    spec, made, (train, val, _) = _closed(spark, d)
+    board = leaderboard(train, val, made, "closed", spec)
+    return _rounded(board.select("model", "mae", "rmse", "r2"), mae=2, rmse=2, r2=6)
+
+
+@query(
+    "leaderboard_log",
+    _closed_sql("model AS name, mae, model = 'Line' AS is_champion", "valuation_date < val_start", _VALIDATED)
+    + " UNION ALL SELECT 'Failed', 99999999.0::DOUBLE, FALSE",
+)
+def leaderboard_log(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two runs saved, read back, one run ranked; a candidate without an error comes last."""
+    from tidemark.operators.tournament import LEADERBOARD, board_document, leaderboard, ranked_board, save_leaderboard
+
+    spec, made, (train, val, _) = _closed(spark, d)
+    path = fresh_path(spark, "board")
+    for run in ("first", "second"):
+        save_leaderboard(leaderboard(train, val, made, run, spec), path)
+    failed = spark.createDataFrame([("second", 2, "Failed", "val", None, None, None)], LEADERBOARD)
+    saved = spark.read.schema(LEADERBOARD).json(save_leaderboard(failed, path))
+    return _rounded(ranked_board(board_document(saved, "second"), "Line"), mae=2)
+
+
+@query(
+    "champion_closed",
+    "SELECT model_name, test_mae, test_rmse, test_r2, TRUE AS promoted FROM ("
+    + _closed_sql("model AS model_name, mae AS test_mae, rmse AS test_rmse, r2 AS test_r2", "valuation_date < test_start", "valuation_date >= test_start")
+    + ") WHERE model_name = (SELECT ARG_MIN(model, mae) FROM ("
+    + _closed_sql("model, mae", "valuation_date < val_start", _VALIDATED)
+    + "))",
+)
+def champion_closed(spark: SparkSession, d: str) -> DataFrame:
+    """The winner, fitted on train and validation, saved as a document and read back."""
+    from tidemark.operators.tournament import champion_of, crown, leaderboard, save_champion
+
+    spec, made, (train, val, test) = _closed(spark, d)
+    name = champion_of(leaderboard(train, val, made, "closed", spec)).first()["model"]
+    best = crown(train, val, test, name, made[name], spec)
+    base = fresh_path(spark, "champion")
+    saved = save_champion(spark, best, f"{base}/model", f"{base}/metrics")
+    kinds = "model_name string, test_mae double, test_rmse double, test_r2 double"
+    found = spark.read.schema(kinds).json(f"{base}/metrics").withColumn("promoted", F.lit(saved))
+    return _rounded(found, test_mae=2, test_rmse=2, test_r2=6)
+
+
+@query(
+    "promotion_cases",
+    """SELECT UNNEST([{'incumbent': 'none', 'promoted': TRUE}, {'incumbent': 'broken', 'promoted': TRUE},
+                     {'incumbent': 'Mean', 'promoted': NOT line > mean * 1.05},
+                     {'incumbent': 'Line', 'promoted': NOT mean > line * 1.05}], recursive := TRUE)
+       FROM (SELECT MAX(mae) FILTER (model = 'Line') AS line, MAX(mae) FILTER (model = 'Mean') AS mean FROM ("""
+    + _closed_sql("model, mae", "valuation_date < test_start", "valuation_date >= test_start")
+    + "))",
+)
+def promotion_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The gate without an incumbent, with one that cannot be read, and with either model."""
+    from tidemark.operators.tournament import crown, save_champion
+
+    spec, made, (train, val, test) = _closed(spark, d)
+    base = fresh_path(spark, "promotion")
+    out = []
+    for name, path in (("Line", None), ("Line", f"{base}/nothing"), ("Mean", None)):
+        best = crown(train, val, test, name, made[name], spec, path)
+        out.append((path, best.promoted))
+        if path is None:
+            save_champion(spark, best, f"{base}/{name}", f"{base}/{name}-metrics")
+    line = crown(train, val, test, "Line", made["Line"], spec, f"{base}/Mean").promoted
+    mean = crown(train, val, test, "Mean", made["Mean"], spec, f"{base}/Line").promoted
+    rows = [("none", out[0][1]), ("broken", out[1][1]), ("Mean", line), ("Line", mean)]
+    return spark.createDataFrame(rows, "incumbent string, promoted boolean")
+
+
 @query(
     "leaderboard_ranking",
     """SELECT position AS name, ROUND(AVG(ABS(EXP(log_target_market_value) - EXP(log_last_known_value))), 2) AS mae,
@@ -1308,6 +1425,70 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "raw_csv_layout",
+    """SELECT TRY_CAST(player_id AS BIGINT) AS player_id, COUNT(*) AS facts
+       FROM (SELECT IF(l_linenumber = 7, 'abc', CAST(o_custkey AS VARCHAR)) AS player_id
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""",
+)
+def raw_csv_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The raw tables written as CSV, some fact keys unreadable, and loaded leniently."""
+    from tidemark.sources.raw import load_raw_csv
+
+    base = fresh_path(spark, "raw")
+    key = F.when(F.col("goals") == 7, "abc").otherwise(F.col("player_id").cast("string"))
+    write_csv(standin.appearances(spark, d).withColumn("player_id", key), f"{base}/appearances.csv")
+    write_csv(standin.valuations(spark, d), f"{base}/player_valuations.csv")
+    write_csv(standin.players(spark, d), f"{base}/players.csv")
+    write_csv(standin.clubs(spark, d), f"{base}/clubs.csv")
+    return load_raw_csv(spark, base).appearances.groupBy("player_id").agg(F.count(F.lit(1)).alias("facts"))
+
+
+@query(
+    "document_defaults",
+    f"""SELECT 'Formula' AS model_name, 'unversioned' AS model_version, mae AS test_mae, 0.0::DOUBLE AS test_rmse, r2 AS test_r2
+        FROM ({_METRICS_SQL}) WHERE period = 'current'""",
+)
+def document_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """A metrics document that lacks fields, completed with defaults."""
+    from tidemark.sources.readers import read_document
+    from tidemark.sources.schemas import CHAMPION
+
+    path = fresh_path(spark, "document")
+    found = regression_metrics(spark, d).filter("period = 'current'")
+    found = found.select(F.lit("Formula").alias("model_name"), F.col("mae").alias("test_mae"), F.col("r2").alias("test_r2"))
+    found.coalesce(1).write.json(path)
+    return read_document(spark, path, CHAMPION, {"model_name": "?", "model_version": "unversioned", "test_rmse": 0.0})
+
+
+@query("missing_sources", "SELECT UNNEST(['games', 'clubs']) AS name, (SELECT COUNT(*) FROM players) AS players")
+def missing_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the required tables a folder lacks."""
+    from tidemark.sources.readers import missing_tables
+
+    base = fresh_path(spark, "partial")
+    for name, rows in (("players", standin.players(spark, d)), ("appearances", standin.appearances(spark, d))):
+        write_csv(rows, f"{base}/{name}.csv")
+    absent = missing_tables(spark, base, ("players", "appearances", "games", "clubs"), ".csv")
+    return spark.read.csv(f"{base}/players.csv", header=True).agg(F.count(F.lit(1)).alias("players")).select(
+        F.explode(F.array(*[F.lit(n) for n in absent])).alias("name"), "players"
+    )
+
+
+@query(
+    "history_fallback",
+    """SELECT player_id, COUNT(*) AS snapshots FROM valuations WHERE player_id % 3 > 0 GROUP BY player_id
+       UNION ALL SELECT player_id, COUNT(*) FROM features WHERE player_id % 3 = 0 GROUP BY player_id""",
+)
+def history_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the entities has no snapshots; their history comes from features."""
+    from tidemark.operators.history import history_with_fallback
+
+    raw = standin.raw_tables(spark, d).valuations.filter("player_id % 3 > 0")
+    found = history_with_fallback(raw, standin.features(spark, d))
+    return found.groupBy("player_id").agg(F.count(F.lit(1)).alias("snapshots"))
+
+
 @query("staged_features", "SELECT * FROM features")
 def staged_features(spark: SparkSession, d: str) -> DataFrame:
     return stage(feature_windows(spark, d), "features")
