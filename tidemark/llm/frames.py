@@ -18,6 +18,8 @@ from tidemark.sources.sinks import fresh_path, stage
 __all__ = ["append", "fold_of", "fresh_path", "keyed", "map_arrow", "stage", "table", "text_bytes"]
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
@@ -38,11 +40,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """mapInArrow with this package at hand on the workers."""
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand on the workers, in batches of bounded bytes."""
+    spark = df.sparkSession
+    ship(spark)
+    # Texts are long: Spark's own bound lets buffers outside the heap grow as large as it.
+    if not 0 < _bytes(spark.conf.get(BATCH_CONF)) <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 
+def _bytes(size: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = "".join(c for c in size if c.isdigit() or c == "-")
+    return int(digits) * units.get(size.lower().removesuffix("ib").lstrip("-0123456789")[:1], 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
