@@ -38,6 +38,13 @@ def test_preprocessor(spark, table):
     assert got[1] == pytest.approx([(5 - filled.mean()) / filled.std(), 0, 0, 1, 0])
 
 
+def test_nan_is_a_missing_value(spark, table):
+    holed = table.withColumn("x", F.when(F.col("x") > 4, float("nan")).otherwise(F.col("x")))
+    plain = table.withColumn("x", F.when(F.col("x") > 4, None).otherwise(F.col("x")))
+    a, b = ([r[0] for r in fit_preprocessor(df, SPEC).transform(holed).select(vector_to_array("features")).collect()] for df in (holed, plain))
+    assert a == b and not any(math.isnan(v) for row in a for v in row)
+
+
 def test_candidates_follow_the_config():
     made = tournament.make_candidates({"Only": {"kind": "forest", "numTrees": 5, "maxDepth": 12}})
     assert list(made) == ["Only"] and made["Only"].getNumTrees() == 5 and made["Only"].getSeed() == 42

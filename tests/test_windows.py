@@ -227,6 +227,10 @@ def test_history_of_zero_null_and_copies(spark):
     undated = df.union(spark.createDataFrame([(1, None, 4, "B")], df.schema))
     last = snapshot_history(undated).filter("valuation_date is null").collect()
     assert [(r["market_value_eur"], r["val_change_eur"], r["val_change_pct"]) for r in last] == [(4, -4, -50.0)]
+    # A real date at the end of the calendar is a date like any other.
+    far = df.union(spark.createDataFrame([(1, D(9999, 12, 31), 9, "B"), (1, None, 4, "B")], df.schema))
+    ends = [(r["valuation_date"], r["val_change_eur"]) for r in snapshot_history(far).filter("market_value_eur in (9, 4)").collect()]
+    assert dict(ends) == {D(9999, 12, 31): 1, None: -5}
     second = snapshot_history(df).filter("player_id = 2").collect()
     assert sorted((r["market_value_eur"], r["val_change_eur"], r["val_change_pct"]) for r in second) == [
         (5, 0, 0.0), (5, 0, 0.0), (7, 2, 40.0), (14, 7, 100.0),
@@ -252,3 +256,13 @@ def test_repeat_rows_over_steps(spark):
     df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 10), ("d", 23)], "k string, n bigint")
     got = repeat_rows(df, "n", step=5).groupBy("k").agg(F.count("*").alias("n"), F.max("copy").alias("top"), F.countDistinct("copy").alias("u"))
     assert {tuple(r) for r in got.collect()} == {("a", 1, 1, 1), ("b", 7, 7, 7), ("c", 10, 10, 10), ("d", 23, 23, 23)}
+
+
+def test_history_falls_back_per_entity(spark):
+    from tidemark.operators.history import history_with_fallback
+
+    raw = spark.createDataFrame([(1, D(2020, 1, 1), 5, "A")], "player_id long, date date, market_value_in_eur long, current_club_name string")
+    rows = [(1, D(2019, 1, 1), 9, "Z"), (2, D(2020, 5, 1), 4, "B"), (2, D(2020, 6, 1), 6, "B")]
+    features = spark.createDataFrame(rows, "player_id long, valuation_date date, target_market_value_eur long, club_name string")
+    got = sorted((r["player_id"], r["market_value_eur"], r["val_change_eur"]) for r in history_with_fallback(raw, features).collect())
+    assert got == [(1, 5, 0), (2, 4, 0), (2, 6, 2)]

@@ -132,8 +132,12 @@ def latest_window_stats(
         [F.col("valuation_date").desc()],
     )
     measures = stats_measures(settings)
+    # Facts outside all spans stay in the scan, and so do those of entities without one.
+    first, last = spans.agg(F.min("prev_valuation_date")).scalar(), spans.agg(F.max("valuation_date")).scalar()
+    facts = raw.appearances.filter((F.col("date") > first) & (F.col("date") <= last))
+    facts = facts.join(spans.select("player_id"), "player_id", "left_semi")
     totals = interval_totals_by_join(
-        spans, "player_id", "prev_valuation_date", "valuation_date", raw.appearances, fact_spec(measures)
+        spans, "player_id", "prev_valuation_date", "valuation_date", facts, fact_spec(measures)
     )
     return totals.select(
         "player_id",

@@ -27,13 +27,14 @@ def in_names(df: DataFrame, column: str, names: Sequence[str] | DataFrame) -> Da
     return df.filter(F.col(column).isin(*names))
 
 
-def latest_group(raw: RawTables) -> DataFrame:
-    """Dimension name at each entity's newest fact.
+def latest_group(raw: RawTables, ids: DataFrame | None = None) -> DataFrame:
+    """Dimension name at each entity's newest fact; of the given ids only, if there are any.
 
     The newest fact is found first, so the dimension meets one row per entity instead
     of every fact.
     """
-    newest = raw.appearances.groupBy("player_id").agg(
+    facts = raw.appearances if ids is None else raw.appearances.join(ids, "player_id", "left_semi")
+    newest = facts.groupBy("player_id").agg(
         value_at_newest(F.col("player_club_id"), "date").alias("club_id")
     )
     names = raw.clubs.select("club_id", F.col("name").alias("app_club"))
@@ -103,7 +104,7 @@ def serving_features(
     joined = (
         raw.players.join(ids, "player_id", "left_semi")
         .join(two, "player_id", "left")
-        .join(latest_group(raw), "player_id", "left")
+        .join(latest_group(raw, ids), "player_id", "left")
         .join(stats, "player_id", "left")
     )
     value = F.coalesce("market_value_in_eur_1", "market_value_in_eur")
