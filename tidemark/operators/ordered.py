@@ -10,6 +10,7 @@ the distinct values.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,15 +66,22 @@ def running_totals(
     column name) and ``scales`` lists all its values. Without it all groups share one
     scale.
     """
+    most = max(1, MOST_CUTS // blocks)
+    if scale and len(scales) > most:
+        # More cuts than may be broadcast at once: the scales go in batches.
+        batches = [scales[i : i + most] for i in range(0, len(scales), most)]
+        done = [
+            running_totals(counts.filter(F.col(scale).isin(*some)), groups, value, weights, scale, some, blocks)
+            for some in batches
+        ]
+        return reduce(DataFrame.unionByName, done)
     # Values without weight change nothing. Testing the weights also keeps them in the plan
     # of the cuts, so all three uses below share one shuffle of ``counts``.
     counts = counts.filter(sum((F.col(w) for w in weights), F.lit(0)) > 0)
     cut_expr = _cuts(F.col(value), blocks)
     if scale:
-        if len(scales) * blocks > MOST_CUTS:
-            raise ValueError(f"{len(scales)} scales of {blocks} blocks are too many to broadcast")
         # A plain join would gather every value of one column in one task. The cuts are
-        # len(scales) rows of blocks - 1 doubles, checked above. (No filter on the scales
+        # len(scales) rows of blocks - 1 doubles, MOST_CUTS at most. (No filter on the scales
         # here: it would sink below the counts and cost their shuffle a second time.)
         cuts = counts.groupBy(scale).agg(cut_expr.alias("_cuts"))
         counted = counts.join(F.broadcast(cuts), scale)
