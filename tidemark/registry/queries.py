@@ -521,6 +521,45 @@ def row_constraints(spark: SparkSession, d: str) -> DataFrame:
     return marked.select("player_id", F.array_join("violations", ",").alias("violations"))
 
 
+# Each rule of a scoring row, and a value that breaks it.
+_ROW_RULES = {
+    "age_at_valuation": ("BETWEEN 15 AND 45", "99.0"),
+    "position": ("IS NOT NULL", "NULL"),
+    "sub_position": ("IS NOT NULL", "NULL"),
+    "dominant_foot": ("IS NOT NULL", "NULL"),
+    "club_name": ("IS NOT NULL", "NULL"),
+    "last_known_value_eur": ("> 0", "0.0"),
+    "days_between_valuations": ("BETWEEN 1 AND 1000", "1001"),
+    "minutes_since_last_val": (">= 0", "-1"),
+    "european_minutes_played": (">= 0", "NULL"),
+    "goal_contributions_per_90": (">= 0", "-0.5"),
+    "minutes_prior_window": (">= 0", "NULL"),
+    "contrib_per_90_prior": (">= 0", "-1.0"),
+    "yellow_cards_since_val": (">= 0", "-1"),
+}
+_BROKEN_ROWS = ", ".join(
+    f"IF(player_id % {len(_ROW_RULES) + 1} = {i}, {bad}, {'target_market_value_eur' if name == 'last_known_value_eur' else name}) AS {name}"
+    for i, (name, (_, bad)) in enumerate(_ROW_RULES.items())
+)
+
+
+@query(
+    "row_constraints_all",
+    "SELECT player_id, CONCAT_WS(',', "
+    + ", ".join(f"IF(IFNULL({name} {rule}, FALSE), NULL, '{name}')" for name, (rule, _) in _ROW_RULES.items())
+    + f") AS violations FROM (SELECT player_id, {_BROKEN_ROWS} FROM profiles)",
+)
+def row_constraints_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule broken by a part of the rows, by a bad value or by a missing one."""
+    rows = _anchored(spark, d)
+    part = F.col("player_id") % (len(_ROW_RULES) + 1)
+    rows = rows.withColumns(
+        {name: F.when(part == i, F.expr(bad).cast(rows.schema[name].dataType)).otherwise(F.col(name)) for i, (name, (_, bad)) in enumerate(_ROW_RULES.items())}
+    )
+    marked = quality.with_violations(rows, quality.scoring_rules())
+    return marked.select("player_id", F.array_join("violations", ",").alias("violations"))
+
+
 def _scenarios(spark: SparkSession, d: str) -> DataFrame:
     """One scenario per feature row: half again the minutes, over the same gap."""
     return standin.features(spark, d).select(
