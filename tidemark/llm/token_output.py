@@ -53,7 +53,7 @@ READ = "part int, seq int, doc_id bigint, before bigint, n_tokens bigint, ids_cr
 # A space that begins a token: tokens never reach over it.
 _ODD = re.compile(r" (?![!-~\w])")
 _CUT = re.compile(r"(?= [!-~\w])")
-_MOST_PIECES = 400_000
+_MOST_PIECES = 800_000
 _LONGEST_PIECE = 48
 
 
@@ -61,7 +61,9 @@ class Encoder:
     """Ids of texts, one piece at a time: pieces seen before are looked up.
 
     The vocabulary's pre-tokenizer always begins a token at a space that a visible
-    character follows, so a text's ids are those of its pieces, one after the other.
+    character follows, so a text's ids are those of its pieces, one after the other. Nor
+    does a token reach over a line break between visible characters, or from a letter to a
+    mark that ends its piece, so new pieces are made of known ones where possible.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -71,49 +73,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
-        self.known: dict[str, bytes] = {}
+        # Ids of pieces after a space, and of pieces without one before them.
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         gap = self._plain(["\t"])[0]
         self.gap = int(np.frombuffer(gap, dtype)[0]) if len(gap) == np.dtype(dtype).itemsize else None
+        self.line = self._plain(["\n"])[0]
+        self.marks = dict(zip(".,;:!?", self._plain(list(".,;:!?")), strict=True))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces together, set apart by a tab, which is a token of its own there."""
+    def _encode_new(self, pieces: list[str], known: dict[str, bytes], before: str) -> None:
+        """Encodes pieces together, set apart by a tab, which is a token of its own there."""
         joint, alone = [], []
         for p in pieces:
-            fine = self.gap is not None and "\t" not in p and p and not p[-1].isspace() and (p[0] == " " or not p[0].isspace())
-            (joint if fine and p.replace("\n", "").isprintable() else alone).append(p)
-        for at in range(0, len(joint), 256):
-            some = joint[at : at + 256]
-            ids = np.frombuffer(self._plain(["\t".join(some)])[0], self.dtype)
+            (alone if not p or "\t" in p or p[0].isspace() or p[-1].isspace() or self.gap is None else joint).append(p)
+        for at in range(0, len(joint), 512):
+            some = joint[at : at + 512]
+            ids = np.frombuffer(self._plain([before + f"\t{before}".join(some)])[0], self.dtype)
             cuts = np.flatnonzero(ids == self.gap)
             if len(cuts) != len(some) - 1:
                 alone += some
                 continue
             size, data = ids.itemsize, ids.tobytes()
             starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
-            self.known.update(zip(some, map(data.__getitem__, map(slice, starts, ends)), strict=True))
-        self.known.update(zip(alone, self._plain(alone), strict=True))
+            known.update(zip(some, map(data.__getitem__, map(slice, starts, ends)), strict=True))
+        known.update(zip(alone, self._plain([before + p for p in alone]), strict=True))
+
+    def _learn(self, spaced: set[str], bare: set[str]) -> None:
+        new: tuple[set[str], set[str]] = (set(), set())
+        made: list[tuple[dict[str, bytes], str, list[str], str]] = []
+        for place, (pieces, known) in enumerate(((spaced, self.spaced), (bare, self.bare))):
+            for p in pieces:
+                parts, mark = p.split("\n"), ""
+                if len(parts) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                    for k, x in enumerate(parts):
+                        if x not in (self.bare if k else known):
+                            new[1 if k else place].add(x)
+                elif len(parts) == 1 and p[-1:] in self.marks and p[-2:-1].isalpha():
+                    parts, mark = [p[:-1]], p[-1]
+                    if parts[0] not in known:
+                        new[place].add(parts[0])
+                else:
+                    new[place].add(p)
+                    continue
+                made.append((known, p, parts, mark))
+        self._encode_new(list(new[0]), self.spaced, " ")
+        self._encode_new(list(new[1]), self.bare, "")
+        for known, p, parts, mark in made:
+            value = self.line.join([known[parts[0]], *map(self.bare.__getitem__, parts[1:])])
+            known[p] = value + self.marks[mark] if mark else value
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of each text."""
-        if len(self.known) > _MOST_PIECES:
-            self.known.clear()
-        cut = []
+        if len(self.spaced) > _MOST_PIECES:
+            self.spaced.clear()
+        if len(self.bare) > _MOST_PIECES // 4:
+            self.bare.clear()
+        firsts, pieces, ends = [], [], []
         for text in texts:
             if _ODD.search(text):
-                cut.append(_CUT.split(text))
+                first, *rest = _CUT.split(text)
+                rest = [p[1:] for p in rest]
             else:
                 first, *rest = text.split(" ")
-                cut.append([first, *map(" ".__add__, rest)])
-        new = set().union(*cut).difference(self.known)
-        long = {p for p in new if len(p) > _LONGEST_PIECE}
-        self._learn(list(new - long))
-        aside = dict(zip(long, self._plain(list(long)), strict=True)) if long else {}
-        of = (self.known | aside if aside else self.known).__getitem__
-        return [b"".join(map(of, pieces)) for pieces in cut]
+            firsts.append(first)
+            pieces += rest
+            ends.append(len(pieces))
+        ids = list(map(self.spaced.get, pieces))
+        new = {p for p, v in zip(pieces, ids, strict=True) if v is None}
+        self._learn(new, {p for p in firsts if p not in self.bare})
+        if new:
+            get = self.spaced.__getitem__
+            ids = [get(p) if v is None else v for p, v in zip(pieces, ids, strict=True)]
+        out = [b"".join([self.bare[f], *ids[s:e]]) for f, s, e in zip(firsts, [0, *ends], ends, strict=False)]
+        for known, some in ((self.spaced, new), (self.bare, firsts)):
+            if max(map(len, some), default=0) > _LONGEST_PIECE:
+                for p in some:
+                    if len(p) > _LONGEST_PIECE:
+                        known.pop(p, None)
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -180,9 +221,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> str
 
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 128):
-                made = encoder.encode([x or "" for x in texts[at : at + 128]])
-                for doc_id, data in zip(doc_ids[at : at + 128], made, strict=True):
+            for at in range(0, len(texts), 64):
+                made = encoder.encode([x or "" for x in texts[at : at + 64]])
+                for doc_id, data in zip(doc_ids[at : at + 64], made, strict=True):
                     data += end
                     frames.append(packer.compress(data))
                     ids.append(doc_id)
