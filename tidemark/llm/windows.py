@@ -94,6 +94,8 @@ def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     per_gram = found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), F.min("content").alias("_lo"), F.max("content").alias("_hi"))
     per_gram = per_gram.filter("_n > 1").select("gram", (F.col("_lo") == F.col("_hi")).alias("_same"))
+    # Written, so that the join reads it by an exchange of its own and a hot gram can be split.
+    per_gram = stage(per_gram, f"{name}-grams")
     known = stage(found.join(per_gram, "gram"), f"{name}-known")
     mixed = known.filter("not _same").drop("_same")
     rest = [c for c in mixed.columns if c not in ("gram", "content")]
