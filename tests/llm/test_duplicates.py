@@ -131,6 +131,28 @@ def test_near_duplicates_equal_brute_force(docs):
     assert kept.columns == docs.columns and kept.count() == len(set(of.values()))
 
 
+@pytest.mark.parametrize("lanes", [200, 500, 2048])
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_lanes_of_one_large_file_equal_brute_force(lanes, radius):
+    rng = np.random.default_rng(lanes + radius)
+    values = rng.integers(0, 1 << 63, lanes + 5, np.uint64)
+    # Each lane of the second half is near a lane of the first, or one bit too far.
+    half = lanes // 2
+    near = rng.permutation(half)
+    for i, j in enumerate(near.tolist()):
+        values[half + i] = values[j]
+        for b in rng.permutation(64)[: rng.integers(0, radius + 2)].tolist():
+            values[half + i] ^= np.uint64(1 << b)
+    files = np.repeat([0, 1, 2], [lanes, 3, 2])
+    want = list(range(len(values)))
+    apart = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+    for a, b in zip(*np.nonzero(np.triu(apart & (files[:, None] == files[None, :]), 1)), strict=True):
+        low, high = sorted((want[a], want[b]))
+        want = [low if w == high else w for w in want]
+    assert simhash.compare_lanes(values, files, radius).tolist() == want
+    assert len(set(want)) < lanes
+
+
 @pytest.mark.parametrize(("radius", "large"), [(2, 2048), (2, 4), (1, 3), (3, 8)])
 def test_links_of_clusters(spark, monkeypatch, radius, large):
     """Dense clusters, and files so small that all are filed again."""

@@ -142,7 +142,8 @@ def compare_lanes(values: np.ndarray, files: np.ndarray, radius: int) -> np.ndar
         counters = np.zeros((levels, words), np.uint64)
         over = np.zeros(words, np.uint64)
         for j, plane in enumerate(planes):
-            moved = plane[alive + skip] >> np.uint64(shift) if alive[-1] + skip < width else np.zeros(len(alive), np.uint64)
+            # The last word is always zero: words past it have no partner.
+            moved = plane[np.minimum(alive + skip, width - 1)] >> np.uint64(shift)
             if shift:
                 moved |= plane[np.minimum(alive + skip + 1, width - 1)] << np.uint64(64 - shift)
             carry = plane[alive] ^ moved
