@@ -154,6 +154,21 @@ def test_main_text_by_ratios_without_an_article(spark):
     assert sorted(r["n_chars"] for r in found.collect()) == [0, len(got), len(got)]
 
 
+STORY = "".join(f"<p>Sentence {i} of the story, which is long enough; it has marks. And more of it, too.</p>" for i in range(6))
+
+
+def test_ratios_decide_outside_an_article():
+    teaser = "<article><h3>Teaser</h3><p>Read on.</p></article>"
+    got = main_text.main_text(f"<body><div class=text>{STORY}</div>{teaser}</body>")
+    assert "Sentence 0 " in got and "Sentence 5 " in got
+    intro = "<p>The introduction stands above, and it is long enough; it counts as text.</p>"
+    got = main_text.main_text(f"<body><div>{intro}</div><main>{STORY}</main><div><ul><li><a href=/>Item</a></ul></div></body>")
+    assert got.startswith("The introduction") and "Sentence 5 " in got and "Item" not in got
+    # A list of sources in an article is its text.
+    sources = "<ul><li><a href=/a>First source</a></li><li><a href=/b>Second source</a></li></ul>"
+    assert main_text.main_text(f"<article>{STORY}{sources}</article>").endswith("First source Second source")
+
+
 def test_hostile_pages_end():
     for page in ("<a " * 20_000, "<" * 50_000, "<div>" * 3_000 + "x", "<p title='" * 5_000, "<!--" * 20_000, "<script>" * 2_000):
         assert isinstance(main_text.main_text(page), str)

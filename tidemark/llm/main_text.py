@@ -4,10 +4,13 @@ Every piece of text belongs to the path of tags from the root to it. Per path th
 length, the punctuation, the number of pieces and the share of link text are aggregated
 over the page. Two ratios follow: characters for each piece, and punctuation marks for
 each piece. Both are smoothed along the page's order of paths, fused by multiplication,
-and paths above a share of the page's deviation are content. Text of paths that stand for
+and paths above a share of the page's deviation are content, unless they are mostly links.
+An ``article`` or ``main`` element adds as much as that share to the ratios of its paths, so
+short lines and lists in it stay; paths outside it are content by their own ratios.
+
+Text of paths that stand for
 something else by their tag or by a word of their class or id (menus, headers and footers
-of the page, side bars, notices, adverts, forms, comments of readers) never is; inside an
-``article`` or ``main`` element a path needs no more than a text that is not mostly links.
+of the page, side bars, notices, adverts, forms, comments of readers) never is.
 
 Each page is read whole on its own, so nothing is shuffled and a page may have any length.
 
@@ -179,7 +182,7 @@ def content_paths(page: Page) -> set[str]:
     least = SHARE * fused.std()
     links = np.array([x.link_chars / max(1, x.chars) for x in per])
     inside = np.array([x.main for x in per])
-    good = np.where(inside.any(), inside, fused >= least) & (links <= MOST_LINKS)
+    good = (fused + least * inside >= least) & (inside | (links <= MOST_LINKS))
     return {p for p, ok in zip(paths, good, strict=True) if ok}
 
 
