@@ -169,6 +169,38 @@ def test_ratios_decide_outside_an_article():
     assert main_text.main_text(f"<article>{STORY}{sources}</article>").endswith("First source Second source")
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        "<article class='post category-news tag-politics'>{}</article>",
+        "<article class='tags related'>{}</article>",
+        "<div class='content has-sidebar'><main>{}</main></div>",
+        "<div class='related'><article>{}</article></div>",
+        "<div class='legal-news'>{}</div>",
+        "<div class='navy'>{}</div>",
+        "<div class='promo-story'>{}</div>",
+        "<div class='overflow-hidden'>{}</div>",
+        "<div data-note='display: none'>{}</div>",
+        "<div hidden=until-found>{}</div>",
+        "<p hidden>Not this, at all.</p>{}",
+    ],
+)
+def test_words_of_a_wrapper_do_not_empty_a_page(wrapped):
+    bare = main_text.main_text(f"<div>{STORY}</div>")
+    assert bare.startswith("Sentence 0 ")
+    assert main_text.main_text(f"<body>{wrapped.format(STORY)}</body>") == bare
+
+
+def test_what_else_stands_for_something_else_is_left_out():
+    for other in ("<div class='related'><article><p>Another story, in short.</p></article></div>", "<p hidden>Not this, at all.</p>", "<div style='color:red; display:none'>Not this, at all.</div>", "<div aria-hidden=true>Not this, at all.</div>"):
+        assert main_text.main_text(f"<body><article>{STORY}</article>{other}</body>") == main_text.main_text(f"<article>{STORY}</article>")
+
+
+def test_math_captions_and_labels_of_an_article_stay():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><figure><img src=a><figcaption>A figure.</figcaption></figure><p><label>Note:</label> end.</p></article>"
+    assert main_text.main_text(page) == "So x=2 holds. A figure. Note: end."
+
+
 def test_hostile_pages_end():
     for page in ("<a " * 20_000, "<" * 50_000, "<div>" * 3_000 + "x", "<p title='" * 5_000, "<!--" * 20_000, "<script>" * 2_000):
         assert isinstance(main_text.main_text(page), str)

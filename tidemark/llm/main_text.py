@@ -8,9 +8,12 @@ and paths above a share of the page's deviation are content, unless they are mos
 An ``article`` or ``main`` element adds as much as that share to the ratios of its paths, so
 short lines and lists in it stay; paths outside it are content by their own ratios.
 
-Text of paths that stand for
-something else by their tag or by a word of their class or id (menus, headers and footers
-of the page, side bars, notices, adverts, forms, comments of readers) never is.
+Text of elements that stand for something else by their tag (menus, headers and footers of
+the page, asides, forms) or are hidden never is content. A word of a class or id that stands
+for something else (side bars, notices, adverts, comments of readers) lowers the ratios of
+all below it. It does not on an ``article`` or ``main``, above most of their text, nor on an
+element with most of the page's text (nine tenths where an ``article`` or ``main`` has text
+outside it, as readers' comments can be longer than what they are about).
 
 Each page is read whole on its own, so nothing is shuffled and a page may have any length.
 
@@ -33,23 +36,28 @@ from tidemark.llm.frames import append
 WINDOW = 1
 SHARE = 0.35
 MOST_LINKS = 0.6
+# What a word that stands for something else leaves of a ratio.
+LOWERED = 0.02
 SCHEMA = "text string, n_chars bigint"
 # Fixed values of the language of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select button canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-OTHER = frozenset("nav footer aside form head menu dialog figcaption label".split())
+OTHER = frozenset("nav footer aside form head menu dialog".split())
 HEADER = frozenset(["header"])
 MAIN = frozenset(["article", "main"])
 OTHER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|"
-    r"masthead|site-header|page-header|cookie\w*|consent|notice\w*|gdpr|popup|modal|newsletter|subscribe|signup|login|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav(?:bar|igation|list|menu)?|menu\w*|breadcrumbs?|sidebar|widget|footer|"
+    r"masthead|site-header|page-header|cookie\w*|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommend\w*|comments?|comment-\w+|replies|reply|disqus|respond|feedback|"
-    r"pagination|pager|search|copyright|disclaimer|legal|toolbar|tags?)(?:$|[\s_-])",
+    r"pagination|pager|search|copyright|disclaimer|toolbar|tags)(?:$|[\s_-])|"
+    # These stand for something else only as a whole name.
+    r"(?:^|\s)(?:side|legal|tag)(?:$|\s)",
     re.I,
 )
 _TOKEN = re.compile(
@@ -57,8 +65,8 @@ _TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?=>)|[^<>]*(?=>))>",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡。、，！？…]")
 _SPACE = re.compile(r"\s+")
 # An opening tag ends these open elements, as end tags of theirs are often left out.
@@ -66,6 +74,18 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot article section main div body".split())
 
 
+@dataclass
+class Named:
+    """An element whose class or id has a word that stands for something else."""
+
+    above: Named | None
+    # An article or main; inside one
+    is_main: bool
+    in_main: bool
+    chars: int = 0
+    main_chars: int = 0
+
+
 @dataclass
 class Path:
     """What a page has under one tag path."""
@@ -76,6 +96,7 @@ class Path:
     link_chars: int = 0
     other: bool = False
     main: bool = False
+    named: Named | None = None
 
 
 @dataclass
@@ -90,22 +111,40 @@ def _raw_end(source: str, name: str, at: int) -> int:
     return found.end() if found else len(source)
 
 
+def _attributes(rest: str) -> tuple[str, bool]:
+    """The class, id and role of a tag, and whether it is hidden."""
+    names, hidden = [], False
+    for key, *values in _ATTRIBUTE.findall(rest):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id", "role"):
+            names += [value] if value else []
+        elif key == "hidden":
+            hidden = hidden or value.lower() != "until-found"
+        elif key == "aria-hidden":
+            hidden = hidden or value.lower() == "true"
+        elif key == "style":
+            hidden = hidden or bool(_NO_DISPLAY.search(value))
+    return " ".join(names), hidden
+
+
 def read_page(source: str) -> Page:
     """Cuts a page into pieces of text with their paths."""
     page = Page()
-    # tag, whether it stands for something else, in the main part, in a link, path
-    stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "")]
+    # tag, whether it stands for something else, in the main part, in a link, path, innermost named element
+    stack: list[tuple[str, bool, bool, bool, str, Named | None]] = [("", False, False, False, "", None)]
+    # One for each path, however often it opens.
+    named: dict[str, Named] = {}
     block, at = 0, 0
 
     def add(raw: str) -> None:
-        _, other, main, link, path = stack[-1]
+        _, other, main, link, path, word = stack[-1]
         if not raw or raw.isspace():
             if raw:
                 page.pieces.append((block, path, " "))
             return
         text = html.unescape(raw)
         page.pieces.append((block, path, text))
-        seen = page.paths.setdefault(path, Path(other=other, main=main))
+        seen = page.paths.setdefault(path, Path(other=other, main=main, named=word))
         size = len(text.strip())
         seen.chars += size
         seen.link_chars += size * link
@@ -160,14 +199,40 @@ def read_page(source: str) -> Page:
                     break
                 if stack[depth][0] in HOLDERS:
                     break
-        names = " ".join(x for found in _NAMES.findall(rest) for x in found if x)
-        _, other, main, link, path = stack[-1]
+        names, hidden = _attributes(rest) if rest else ("", False)
+        _, other, main, link, path, word = stack[-1]
         inner_header = name in HEADER and not main
-        other = other or name in OTHER or inner_header or bool(names and name not in ("html", "body") and OTHER_WORDS.search(names)) or bool(rest and _HIDDEN.search(rest))
-        stack.append((name, other, main or name in MAIN, link or name == "a", f"{path}/{name}" + (f".{names}" if names else "")))
+        other = other or name in OTHER or inner_header or hidden
+        path = f"{path}/{name}" + (f".{names}" if names else "") + ("!" if hidden else "")
+        if names and name not in ("html", "body") and OTHER_WORDS.search(names):
+            word = named.setdefault(path, Named(word, name in MAIN, main))
+        stack.append((name, other, main or name in MAIN, link or name == "a", path, word))
     return page
 
 
+def _chain(named: Named | None):
+    while named is not None:
+        yield named
+        named = named.above
+
+
+def _lowered(paths: list[Path]) -> list[bool]:
+    """Whether a word on or above each path lowers it."""
+    total = sum(x.chars for x in paths)
+    main = sum(x.chars for x in paths if x.main)
+    for x in paths:
+        for e in _chain(x.named):
+            e.chars += x.chars
+            e.main_chars += x.chars * x.main
+
+    def counts(e: Named) -> bool:
+        around = not e.in_main and 2 * e.main_chars > main
+        most = 0.9 if main > e.main_chars else 0.5
+        return not (e.is_main or around or e.chars > most * total)
+
+    return [any(counts(e) for e in _chain(x.named)) for x in paths]
+
+
 def content_paths(page: Page) -> set[str]:
     """The paths that hold content: smoothed, fused and thresholded ratios."""
     paths = [p for p, x in page.paths.items() if not x.other]
@@ -178,11 +243,12 @@ def content_paths(page: Page) -> set[str]:
     marks = np.array([x.marks / x.pieces for x in per])
     kernel = np.ones(2 * WINDOW + 1) / (2 * WINDOW + 1)
     smooth = lambda v: (v + np.convolve(np.pad(v, WINDOW, "edge"), kernel, "valid")) / 2
-    fused = smooth(lengths) * (1 + smooth(marks))
+    left = np.where(_lowered(per), LOWERED, 1.0)
+    fused = smooth(lengths) * (1 + smooth(marks)) * left
     least = SHARE * fused.std()
     links = np.array([x.link_chars / max(1, x.chars) for x in per])
     inside = np.array([x.main for x in per])
-    good = (fused + least * inside >= least) & (inside | (links <= MOST_LINKS))
+    good = (fused + least * inside * left >= least) & (inside | (links <= MOST_LINKS))
     return {p for p, ok in zip(paths, good, strict=True) if ok}
 
 
