@@ -95,6 +95,22 @@ def test_longest_repeats_reach_over_bucket_edges(spark, monkeypatch):
     assert got == {i: max(common(a, b) for j, b in some if j != i) for i, a in some}
 
 
+def test_equal_suffixes_are_sorted_once(spark, monkeypatch):
+    sorted_rows = []
+    plain = suffix_dedup.map_arrow
+
+    def counted(df, run, schema):
+        sorted_rows.append(df.count())
+        return plain(df, run, schema)
+
+    monkeypatch.setattr(suffix_dedup, "map_arrow", counted)
+    some = [b"hot"] * 500 + [b"hotter", b"hotel", b"cold", b"cold", b"colder", b"warm"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(some)], "i int, suffix binary")
+    got = {r["i"]: r["longest"] for r in suffix_dedup.longest_repeats(df, "suffix", "longest", "t").collect()}
+    assert [got[i] for i in range(506)] == [3] * 500 + [3, 3, 4, 4, 4, 0]
+    assert sorted_rows == [6]
+
+
 def slow_fingerprint(text):
     words = bytes(text or b"").lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])

@@ -6,6 +6,7 @@ whose gram occurs only once, or whose whole content occurs again, are settled by
 (see ``windows``). Of the others, one for each content, the suffix from the anchor on is
 sorted:
 
+* equal suffixes are counted and sorted once; they are repeated in their whole length;
 * splitters sampled from the suffixes partition them into ranges of leading bytes;
 * each bucket is sorted by multikey quicksort, eight bytes at a time;
 * a suffix's longest repeated prefix is the longer one it shares with a neighbour; where
@@ -28,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,11 +96,15 @@ def shared_prefix(a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b:
     return np.minimum(common, np.minimum(length_a, length_b))
 
 
+def _hashes(column: str) -> list:
+    """128 bits that stand for the bytes of a column."""
+    return [F.xxhash64(column).alias("_h"), F.xxhash64(column, F.lit(1)).alias("_i")]
+
+
 def longest_repeats(df: DataFrame, suffix: str, out: str, name: str) -> DataFrame:
     """df with the column out: the longest prefix of suffix that another row's suffix has."""
     total = df.agg(F.sum(F.octet_length(suffix))).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    fields = ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
     def run(batches):
         from pyspark import TaskContext
@@ -107,7 +113,7 @@ def longest_repeats(df: DataFrame, suffix: str, out: str, name: str) -> DataFram
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        words, lengths = packed(rows.column(suffix).to_pylist())
+        words, lengths = packed(rows.column("_suffix").to_pylist())
         order = multikey_quicksort(words, lengths)
         near = np.zeros(len(order) + 1, np.int64)
         near[1:-1] = shared_prefix(words[order[:-1]], words[order[1:]], lengths[order[:-1]], lengths[order[1:]])
@@ -115,18 +121,25 @@ def longest_repeats(df: DataFrame, suffix: str, out: str, name: str) -> DataFram
         edge = np.zeros(len(order), bool)
         edge[[0, -1]] = True
         rows = rows.take(pa.array(order)).combine_chunks()
+        # Only the first and the last are compared again.
+        at = rows.schema.get_field_index("_suffix")
+        rows = rows.set_column(at, "_suffix", pc.if_else(pa.array(edge), rows.column(at), pa.scalar(None, pa.binary())))
         part = np.full(len(order), TaskContext.get().partitionId(), np.int32)
-        for c, v in (("_part", part), ("_place", np.arange(len(order), dtype=np.int32)), ("_edge", edge), (out, longest)):
+        for c, v in (("_part", part), ("_place", np.arange(len(order), dtype=np.int32)), ("_edge", edge), ("_longest", longest)):
             rows = rows.append_column(c, pa.array(v))
         yield from rows.to_batches(max_chunksize=10_000)
 
-    ranged = df.repartitionByRange(parts, suffix)
-    found = stage(map_arrow(ranged, run, f"{fields}, _part int, _place int, _edge boolean, {out} bigint"), name)
+    # One row for each suffix, as equal ones would all come into one bucket.
+    distinct = df.groupBy(F.col(suffix).alias("_suffix")).agg(F.count(F.lit(1)).alias("_n"))
+    distinct = distinct.select(*_hashes("_suffix"), F.octet_length("_suffix").cast("bigint").alias("_length"), "_n", "_suffix")
+    ranged = distinct.repartitionByRange(parts, "_suffix")
+    fields = "_h bigint, _i bigint, _length bigint, _n bigint, _suffix binary"
+    found = stage(map_arrow(ranged, run, f"{fields}, _part int, _place int, _edge boolean, _longest bigint"), name)
 
     # Two rows at most for each bucket.
     order = W.orderBy("_part", "_place")
     edges = found.filter("_edge")
-    around = edges.select(F.lag(suffix).over(order).alias("_before"), F.col(suffix).alias("_own"), F.lead(suffix).over(order).alias("_after"), "*")
+    around = edges.select(F.lag("_suffix").over(order).alias("_before"), F.col("_suffix").alias("_own"), F.lead("_suffix").over(order).alias("_after"), "*")
 
     def compare(batch):
         before, own, after = (batch.column(c).to_pylist() for c in ("_before", "_own", "_after"))
@@ -135,9 +148,12 @@ def longest_repeats(df: DataFrame, suffix: str, out: str, name: str) -> DataFram
         near = [shared_prefix(words[:n], words[k * n : k * n + n], lengths[:n], lengths[k * n : k * n + n]) for k in (1, 2)]
         return [np.maximum(*near)]
 
-    crossed = append(around, "_across bigint", lambda: compare).withColumn(out, F.greatest(out, "_across"))
+    crossed = append(around, "_across bigint", lambda: compare).withColumn("_longest", F.greatest("_longest", "_across"))
     both = found.filter("not _edge").unionByName(crossed.select(*found.columns))
-    return both.drop("_part", "_place", "_edge")
+    lengths = both.select("_h", "_i", F.when(F.col("_n") > 1, F.col("_length")).otherwise(F.col("_longest")).alias(out))
+    # Written, so that the rows come by an exchange of their own and a hot suffix can be split.
+    lengths = stage(lengths, f"{name}-lengths")
+    return df.select("*", *_hashes(suffix)).join(lengths, ["_h", "_i"]).select(*df.columns, out)
 
 
 def _suffixes(docs: DataFrame, left: DataFrame, n: int, gram: int) -> DataFrame:
@@ -219,7 +235,7 @@ def repeated_strings(docs: DataFrame, n: int = BYTES) -> DataFrame:
     short, long = -(-n // 4), n - n // 8
     found, left = settle(runs_of(docs, _values, n, short), "bytes")
     suffixes = stage(_suffixes(docs, left, n, short), "suffixes")
-    bounded = longest_repeats(suffixes, "after", "forwards", "suffixes-sorted")
+    bounded = stage(longest_repeats(suffixes, "after", "forwards", "suffixes-sorted"), "suffixes-forwards")
     bounded = stage(longest_repeats(bounded, "before", "backwards", "prefixes-sorted"), "suffixes-bounded")
     more, left = settle(stage(_candidates(bounded, n, long), "suffix-runs"), "suffix-runs")
     last = stage(_strings(bounded, left, n), "suffix-strings")
