@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language_id, main_text, mixing, repetition, simhash, sql, suffix_dedup, token_output, toxicity, window_doubling
+from tidemark.llm import decontamination, language_id, main_text, mixing, quality, repair, repetition, simhash, sql, suffix_dedup, token_output, toxicity, whitening, window_doubling
 from tidemark.llm.frames import fold_of, fresh_path, table
 
 END_ID = 2
@@ -66,6 +66,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_a", "_b")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), fold_of("doc_id", 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), (fold != 1) & (fold >= 0))
+    rows = docs.select("doc_id", "text", (fold == 1).alias("held_out"))
+    return quality.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows.select("conv_id"))
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +93,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op12_quality": op12_quality,
+    "op13_repair": op13_repair,
 }
 
 # DuckDB SQL of those that SQL can express.
