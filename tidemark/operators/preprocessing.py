@@ -48,6 +48,8 @@ def moments(df: DataFrame, fills: dict[str, float]) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """column -> (median, mean, std). Only one row per column reaches the driver."""
+    if not columns:
+        return {}
     found = {r["column"]: r["median"] for r in medians(df, columns).collect()}
     fills = {c: float(found.get(c) or 0.0) for c in columns}
     spread = {r["column"]: (r["mean"], r["std"]) for r in moments(df, fills).collect()}
