@@ -79,32 +79,47 @@ def interval_totals(
     Both inputs meet in one ``groupBy(entity, day)``; the running totals, the trailing
     totals and the lag share one sort by (entity, day).
     """
-    names = list(fact_spec.measures)
+    days = entity_days(snapshots, snapshot_spec, facts, fact_spec)
+    return day_totals(days, fact_spec.key, list(fact_spec.measures), trailing_days, trailing)
+
+
+def entity_days(
+    snapshots: DataFrame, snapshot_spec: SnapshotSpec, facts: DataFrame, fact_spec: FactSpec
+) -> DataFrame:
+    """One row per (entity, day): largest snapshot value, facts, newest group, measures.
+
+    Such rows can be merged (``merged_days``), so they are what an entity's state consists of.
+    """
     key = fact_spec.key
     marks = snapshots.select(
         F.col(snapshot_spec.key).alias(key),
         F.col(snapshot_spec.date).alias("day"),
-        F.col(snapshot_spec.value).alias("_value"),
+        F.col(snapshot_spec.value).alias("cur_value"),
     )
     moves = facts.select(
         F.col(key),
         F.col(fact_spec.date).alias("day"),
-        F.lit(1).alias("_fact"),
+        F.lit(1).cast("bigint").alias("facts"),
         F.col(fact_spec.group).alias("group"),
         *[expr.alias(name) for name, expr in fact_spec.measures.items()],
     )
-    days = (
-        marks.unionByName(moves, allowMissingColumns=True)
-        .groupBy(key, "day")
-        .agg(
-            F.max("_value").alias("cur_value"),
-            F.count("_fact").alias("facts"),
-            F.max("group").alias("group"),
-            *[F.sum(c).alias(c) for c in names],
-        )
-        .withColumn("_n", F.unix_date("day"))
+    return merged_days(marks.unionByName(moves, allowMissingColumns=True), key, list(fact_spec.measures))
+
+
+def merged_days(rows: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
+    return rows.groupBy(key, "day").agg(
+        F.max("cur_value").alias("cur_value"),
+        F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"),
+        F.max("group").alias("group"),
+        *[F.sum(c).alias(c) for c in measures],
     )
 
+
+def day_totals(
+    days: DataFrame, key: str, names: Sequence[str], trailing_days: int = 365, trailing: Sequence[str] = ()
+) -> DataFrame:
+    """``interval_totals`` from the rows of ``entity_days``."""
+    days = days.withColumn("_n", F.unix_date("day"))
     by_day = Window.partitionBy(key).orderBy("_n")
     upto = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     long_ago = by_day.rangeBetween(Window.unboundedPreceding, -trailing_days)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.casts import long_from_double, long_from_text
@@ -17,6 +17,7 @@ from tidemark.functions.numeric import (
     whole_parts,
 )
 from tidemark.functions.text import capitalize, matches_whole
+from tidemark.operators.calendar_tree import calendar_tree, totals_from_tree
 from tidemark.operators import drift, evaluation, latest, preprocessing, quality, scoring, split
 from tidemark.operators.history import history_from_features, snapshot_history
 from tidemark.operators.intervals import (
@@ -34,7 +35,7 @@ from tidemark.registry import standin
 from tidemark.registry.sql import with_parts
 from tidemark.sources.schemas import SCORING_ROW
 from tidemark.sources.sinks import append_records, fresh_path, stage, write_csv
-from tidemark.streaming import traffic
+from tidemark.streaming import counters, sketches, traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -270,6 +271,49 @@ def trailing_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "calendar_tree_totals",
+    """SELECT s.player_id, s.low, s.high, COUNT(a.appearance_id) AS facts,
+              ARG_MAX(a.player_club_id, (a.date, a.player_club_id)) AS "group",
+              CAST(SUM(a.minutes_played) AS BIGINT) AS minutes, CAST(SUM(a.goals) AS BIGINT) AS goals
+       FROM (SELECT DISTINCT player_id, date - CAST(30 + market_value_in_eur % 4000 AS INTEGER) AS low, date AS high FROM valuations) s
+       LEFT JOIN appearances a ON a.player_id = s.player_id AND a.date > s.low AND a.date <= s.high
+       GROUP BY ALL""",
+)
+def calendar_tree_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping spans of a month to eleven years, one per valuation, from a stored tree."""
+    raw = standin.raw_tables(spark, d)
+    spec = feature_plans.fact_spec({"minutes": F.col("minutes_played"), "goals": F.col("goals")})
+    days = (30 + F.col("market_value_in_eur") % 4000).cast("int")
+    spans = raw.valuations.select("player_id", F.date_sub("date", days).alias("low"), F.col("date").alias("high"))
+    tree = standin.staged(spark, d, "calendar_tree", lambda: calendar_tree(raw.appearances, spec))
+    return totals_from_tree(spans, "player_id", "low", "high", tree, list(spec.measures))
+
+
+@query("incremental_windows", SQL["interval_totals"])
+def incremental_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Interval totals kept by a first load and two batches of late rows of any date.
+
+    The batches bring a tenth of all facts and snapshots each, of a third of the players.
+    """
+    from tidemark.plans import maintenance
+
+    raw = standin.raw_tables(spark, d)
+    spec = feature_plans.fact_spec(feature_plans.window_measures(SETTINGS))
+    store = maintenance.WindowStore(fresh_path(spark, "windows"), feature_plans.SNAPSHOTS, spec, SETTINGS.trailing_days)
+    late = (F.col("player_id") % 3 == 0) & (F.dayofyear("date") % 5 == 0)
+    batch = F.when(late, F.dayofyear("date") % 2 + 1).otherwise(0)
+    snapshots = feature_plans.valuation_snapshots(raw, SETTINGS).withColumn("_batch", batch)
+    facts = raw.appearances.withColumn("_batch", batch)
+    for i in range(3):
+        maintenance.apply_batch(spark, store, i, snapshots.filter(F.col("_batch") == i), facts.filter(F.col("_batch") == i))
+    return (
+        maintenance.current_windows(spark, store)
+        .filter(F.col("prev_date").isNotNull() & (F.col("required_facts") > 0))
+        .select("player_id", "cur_date", "group", "facts", "required_facts", "minutes", "goals", "assists", "yellow_cards", "bonus_minutes")
+    )
+
+
 @query(
     "interval_join",
     """SELECT p.player_id, p.cur_date, a.date AS day, CAST(COUNT(*) AS BIGINT) AS facts,
@@ -1361,6 +1405,82 @@ def latency_p95_exact(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(traffic.latency_quantile_exact(log, "handler", "latency", width="1 day"), p95=9)
 
 
+# Request counters as a server exposes them: one per handler and instance, zero every morning.
+_COUNTERS = """(SELECT ts, handler, CAST(user_id % 3 AS VARCHAR) AS instance,
+                       COUNT(*) OVER (PARTITION BY handler, user_id % 3, CAST(ts AS DATE) ORDER BY ts, event_id) AS value
+                FROM (SELECT ts, user_id, event_id, '/' || event_type AS handler FROM events))"""
+_COUNTER_RATES = f"""SELECT TIME_BUCKET(INTERVAL 1 HOUR, ts) AS window_start, handler, instance, COUNT(*) AS samples,
+                            SUM(grown)::DOUBLE AS increase, SUM(grown) / 3600.0::DOUBLE AS rate
+                     FROM (SELECT *, CASE WHEN value < LAG(value) OVER w THEN value
+                                          ELSE COALESCE(value - LAG(value) OVER w, 0) END AS grown
+                           FROM {_COUNTERS} WINDOW w AS (PARTITION BY handler, instance ORDER BY ts))
+                     GROUP BY ALL"""
+
+
+def _counter_samples(spark: SparkSession, d: str) -> DataFrame:
+    instance = (F.col("user_id") % 3).cast("string")
+    handler = F.concat(F.lit("/"), F.col("event_type"))
+    rows = standin.table(spark, d, "events").select("ts", "event_id", handler.alias("handler"), instance.alias("instance"))
+    day = Window.partitionBy("handler", "instance", F.to_date("ts")).orderBy("ts", "event_id")
+    return rows.select("ts", "handler", "instance", F.count(F.lit(1)).over(day).alias("value"))
+
+
+@query("counter_rate", _COUNTER_RATES)
+def counter_rate(spark: SparkSession, d: str) -> DataFrame:
+    return counters.counter_rates(_counter_samples(spark, d), ["handler", "instance"], "value", "1 hour")
+
+
+@query("stream_counter_rate", f"SELECT * FROM ({_COUNTER_RATES}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 MINUTE FROM events)")
+def stream_counter_rate(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream of the samples, with state and timers per series; windows that ended."""
+    from tidemark.streaming.jobs import read_stream, write_scores
+
+    base, name = fresh_path(spark, "counters"), "spark.sql.streaming.stateStore.providerClass"
+    samples = _counter_samples(spark, d)
+    samples.write.parquet(f"{base}/samples")
+    before = spark.conf.get(name)
+    spark.conf.set(name, counters.STATE_STORE)
+    try:
+        live = read_stream(spark, f"{base}/samples", samples.schema)
+        rates = counters.stream_counter_rates(live, ["handler", "instance"], "value", "1 hour")
+        write_scores(rates, f"{base}/rates", f"{base}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(rates.schema).parquet(f"{base}/rates")
+
+
+@query(
+    "latency_sketch",
+    """SELECT TIME_BUCKET(INTERVAL 1 DAY, ts) AS window_start, handler, COUNT(latency) AS n,
+              MIN(latency) AS least, MAX(latency) AS greatest, TRUE AS within_bound
+       FROM requests WHERE latency IS NOT NULL GROUP BY 1, 2""",
+)
+def latency_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sketches merged from hourly ones; whether their p95 is within the bound of the exact rank."""
+    log = standin.request_log(spark, d)
+    hourly = stage(sketches.latency_sketches(log, ["handler"], "latency"), "sketches")
+    day = F.window("window_start", "1 day")["start"].alias("window_start")
+    daily = sketches.merged_sketches(hourly, [day, "handler"])
+    answered = daily.select(
+        "window_start",
+        "handler",
+        "n",
+        sketches.sketch_quantile(F.col("sketch"), 0.0).alias("least"),
+        sketches.sketch_quantile(F.col("sketch"), 1.0).alias("greatest"),
+        sketches.sketch_quantile(F.col("sketch"), 0.95).alias("_p95"),
+    )
+    ranked = log.select(F.window("ts", "1 day")["start"].alias("window_start"), "handler", "latency")
+    ranks = (
+        ranked.join(answered, ["window_start", "handler"])
+        .groupBy("window_start", "handler", "n", "least", "greatest")
+        .agg(F.count_if(F.col("latency") < F.col("_p95")).alias("_below"), F.count_if(F.col("latency") <= F.col("_p95")).alias("_upto"))
+    )
+    # Three times the bound of one question: hundreds are asked here.
+    slack = 3 * sketches.RANK_ERROR * F.col("n") + 1
+    fine = (F.col("_below") - slack <= 0.95 * F.col("n")) & (F.col("_upto") + slack >= 0.95 * F.col("n"))
+    return ranks.select("window_start", "handler", "n", "least", "greatest", fine.alias("within_bound"))
+
+
 @query(
     "prediction_total",
     "SELECT COUNT(*) AS predictions FROM requests WHERE REGEXP_FULL_MATCH(handler, '/p.*')",
