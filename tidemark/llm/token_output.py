@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,8 @@ SAMPLE_DOCS = 1_000
 SAMPLE_BYTES = 16 << 10
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 4_096
+# Documents encoded together; an Arrow batch, which holds 8 MB or one document, bounds their size.
+AT_ONCE = 1_024
 LEVEL = 3
 SHARDS = (
     "part int, seq int, first_id bigint, last_id bigint, n_tokens bigint, dictionary string, "
@@ -53,17 +56,56 @@ READ = "part int, seq int, doc_id bigint, before bigint, n_tokens bigint, ids_cr
 # A space that begins a token: tokens never reach over it.
 _ODD = re.compile(r" (?![!-~\w])")
 _CUT = re.compile(r"(?= [!-~\w])")
-_MOST_PIECES = 800_000
+_MOST_PIECES = 1_200_000
 _LONGEST_PIECE = 48
 
 
+def _solid(parts: list[str]) -> bool:
+    """Whether no part is empty, begins or ends with white space."""
+    return all(x and not x[0].isspace() and not x[-1].isspace() for x in parts)
+
+
+class Known:
+    """Ids of pieces seen before, in two generations.
+
+    When the young one is full it becomes the old one, whose pieces come back as they are seen
+    again: memory is bounded and what is frequent is never forgotten.
+    """
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most // 2
+
+    def missing(self, pieces) -> set[str]:
+        """Which of the pieces are unknown; pieces of the old generation become young."""
+        out, young, old = set(), self.young, self.old
+        for p in pieces:
+            if p in old:
+                young[p] = old[p]
+            elif p not in young:
+                out.add(p)
+        return out
+
+    def grow_old(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def forget(self, pieces) -> None:
+        """Long pieces are not worth their memory."""
+        for p in pieces:
+            if len(p) > _LONGEST_PIECE:
+                self.young.pop(p, None)
+
+
 class Encoder:
     """Ids of texts, one piece at a time: pieces seen before are looked up.
 
     The vocabulary's pre-tokenizer always begins a token at a space that a visible
     character follows, so a text's ids are those of its pieces, one after the other. Nor
     does a token reach over a line break between visible characters, or from a letter to a
-    mark that ends its piece, so new pieces are made of known ones where possible.
+    mark that ends its piece, so new pieces are made of known ones where possible. Texts with
+    the string of a special token go to the tokenizer whole, as it cuts them there first.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -71,11 +113,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Ids of pieces after a space, and of pieces without one before them.
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.spaced, self.bare = Known(_MOST_PIECES), Known(_MOST_PIECES // 4)
         gap = self._plain(["\t"])[0]
         self.gap = int(np.frombuffer(gap, dtype)[0]) if len(gap) == np.dtype(dtype).itemsize else None
         self.line = self._plain(["\n"])[0]
@@ -87,12 +128,15 @@ class Encoder:
 
     def _encode_new(self, pieces: list[str], known: dict[str, bytes], before: str) -> None:
         """Encodes pieces together, set apart by a tab, which is a token of its own there."""
-        joint, alone = [], []
-        for p in pieces:
-            (alone if not p or "\t" in p or p[0].isspace() or p[-1].isspace() or self.gap is None else joint).append(p)
+        if self.gap is None:
+            joint, alone = [], pieces
+        else:
+            joint = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "\t" not in p]
+            alone = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace() or "\t" in p] if len(joint) < len(pieces) else []
+        apart = f"\t{before}"
         for at in range(0, len(joint), 512):
             some = joint[at : at + 512]
-            ids = np.frombuffer(self._plain([before + f"\t{before}".join(some)])[0], self.dtype)
+            ids = np.frombuffer(self._plain([before + apart.join(some)])[0], self.dtype)
             cuts = np.flatnonzero(ids == self.gap)
             if len(cuts) != len(some) - 1:
                 alone += some
@@ -103,59 +147,81 @@ class Encoder:
         known.update(zip(alone, self._plain([before + p for p in alone]), strict=True))
 
     def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        new: tuple[set[str], set[str]] = (set(), set())
-        made: list[tuple[dict[str, bytes], str, list[str], str]] = []
-        for place, (pieces, known) in enumerate(((spaced, self.spaced), (bare, self.bare))):
+        """Adds the ids of unknown pieces, after a space and without one."""
+        new, kinds = (set(), set()), (self.spaced, self.bare)
+        made: list[tuple[int, str, list[str], str]] = []
+        parted: tuple[set[str], set[str]] = (set(), set())
+        for place, pieces in enumerate((spaced, bare)):
+            fresh = new[place]
             for p in pieces:
-                parts, mark = p.split("\n"), ""
-                if len(parts) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
-                    for k, x in enumerate(parts):
-                        if x not in (self.bare if k else known):
-                            new[1 if k else place].add(x)
-                elif len(parts) == 1 and p[-1:] in self.marks and p[-2:-1].isalpha():
-                    parts, mark = [p[:-1]], p[-1]
-                    if parts[0] not in known:
-                        new[place].add(parts[0])
+                if p[-1:] in self.marks and p[-2:-1].isalpha() and "\n" not in p:
+                    made.append((place, p, [p[:-1]], p[-1]))
+                    parted[place].add(p[:-1])
+                elif "\n" in p and _solid(parts := p.split("\n")):
+                    made.append((place, p, parts, ""))
+                    parted[place].add(parts[0])
+                    parted[1].update(parts[1:])
                 else:
-                    new[place].add(p)
-                    continue
-                made.append((known, p, parts, mark))
-        self._encode_new(list(new[0]), self.spaced, " ")
-        self._encode_new(list(new[1]), self.bare, "")
-        for known, p, parts, mark in made:
-            value = self.line.join([known[parts[0]], *map(self.bare.__getitem__, parts[1:])])
+                    fresh.add(p)
+        for place, before in ((0, " "), (1, "")):
+            new[place].update(kinds[place].missing(parted[place]))
+            self._encode_new(list(new[place]), kinds[place].young, before)
+        rest = self.bare.young
+        for place, p, parts, mark in made:
+            known = kinds[place].young
+            value = known[parts[0]]
+            if len(parts) > 1:
+                value = self.line.join([value, *map(rest.__getitem__, parts[1:])])
             known[p] = value + self.marks[mark] if mark else value
+        self.spaced.forget(x for x in parted[0] if len(x) > _LONGEST_PIECE)
+        self.bare.forget(x for x in parted[1] if len(x) > _LONGEST_PIECE)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of each text."""
-        if len(self.spaced) > _MOST_PIECES:
-            self.spaced.clear()
-        if len(self.bare) > _MOST_PIECES // 4:
-            self.bare.clear()
-        firsts, pieces, ends = [], [], []
-        for text in texts:
-            if _ODD.search(text):
-                first, *rest = _CUT.split(text)
-                rest = [p[1:] for p in rest]
-            else:
-                first, *rest = text.split(" ")
-            firsts.append(first)
-            pieces += rest
-            ends.append(len(pieces))
-        ids = list(map(self.spaced.get, pieces))
-        new = {p for p, v in zip(pieces, ids, strict=True) if v is None}
-        self._learn(new, {p for p in firsts if p not in self.bare})
-        if new:
-            get = self.spaced.__getitem__
-            ids = [get(p) if v is None else v for p, v in zip(pieces, ids, strict=True)]
-        out = [b"".join([self.bare[f], *ids[s:e]]) for f, s, e in zip(firsts, [0, *ends], ends, strict=False)]
-        for known, some in ((self.spaced, new), (self.bare, firsts)):
-            if max(map(len, some), default=0) > _LONGEST_PIECE:
-                for p in some:
-                    if len(p) > _LONGEST_PIECE:
-                        known.pop(p, None)
+        out: list[bytes | None] = [None] * len(texts)
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, t in enumerate(texts):
+            kinds[2 if any(s in t for s in self.specials) else 1 if _ODD.search(t) else 0].append(i)
+        for places, of in zip(kinds, (self._encode_plain, self._encode_odd, self._plain), strict=True):
+            for i, ids in zip(places, of([texts[i] for i in places]) if places else (), strict=True):
+                out[i] = ids
         return out
 
+    def _ids_of(self, spaced: list[str], bare: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of pieces after a space and of pieces without one; of either, each is given once."""
+        self.spaced.grow_old()
+        self.bare.grow_old()
+        new, fresh = self.spaced.missing(spaced), self.bare.missing(bare)
+        if new or fresh:
+            self._learn(new, fresh)
+        found = [list(map(known.young.__getitem__, some)) for known, some in ((self.spaced, spaced), (self.bare, bare))]
+        self.spaced.forget(new)
+        self.bare.forget(fresh)
+        return found[0], found[1]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts whose pieces are what lies between single spaces: split and looked up by Arrow."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = coded.dictionary.take(pa.array(places[edges[:-1]])).dictionary_encode()
+        places[edges[:-1]] = len(coded.dictionary) + heads.indices.to_numpy(zero_copy_only=False)
+        spaced, bare = self._ids_of(*(x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (coded, heads)))
+        joined = pa.array([*spaced, *bare], pa.large_binary()).take(pa.array(places))
+        _, offsets, data = joined.buffers()
+        at = np.frombuffer(offsets, np.int64)[edges].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
+    def _encode_odd(self, texts: list[str]) -> list[bytes]:
+        """Texts in which a space may belong to the token before it, cut where it does not."""
+        cut = [_CUT.split(t) for t in texts]
+        spaced = {p: i for i, p in enumerate({p[1:] for _, *rest in cut for p in rest})}
+        bare = {p: i for i, p in enumerate({first for first, *_ in cut})}
+        after, alone = self._ids_of(list(spaced), list(bare))
+        return [b"".join([alone[bare[first]], *[after[spaced[p[1:]]] for p in rest]]) for first, *rest in cut]
+
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -221,9 +287,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> str
 
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 64):
-                made = encoder.encode([x or "" for x in texts[at : at + 64]])
-                for doc_id, data in zip(doc_ids[at : at + 64], made, strict=True):
+            for at in range(0, len(texts), AT_ONCE):
+                made = encoder.encode([x or "" for x in texts[at : at + AT_ONCE]])
+                for doc_id, data in zip(doc_ids[at : at + AT_ONCE], made, strict=True):
                     data += end
                     frames.append(packer.compress(data))
                     ids.append(doc_id)
