@@ -21,6 +21,7 @@ from tidemark.llm.frames import keyed, map_arrow, stage
 from tidemark.llm.hashing import mix, prefix_sums, spans_hash, windows_hash
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
+HOT_PAIRS = 10_000
 RUNS = "_a bigint, _b bigint, first int, last int, gram bigint, content bigint"
 
 
@@ -101,10 +102,17 @@ def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     rest = [c for c in mixed.columns if c not in ("gram", "content")]
     per_content = mixed.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_one"))
     per_content = stage(per_content, f"{name}-contents")
-    again = per_content.filter("_n > 1").select("gram", "content")
-    span = ["_a", "_b", "first", "last"]
-    repeated = known.filter("_same").select(*span).unionByName(mixed.join(again, ["gram", "content"], "left_semi").select(*span))
-    return repeated, per_content.select("gram", "content", "_one.*")
+    span, pair = ["_a", "_b", "first", "last"], ["gram", "content"]
+    again = per_content.filter("_n > 1")
+    # Fewer than HOT_PAIRS contents can have more than one HOT_PAIRS-th of the rows each. Those
+    # are looked up without a shuffle; of the others none fills a task.
+    most = max(1, (per_content.agg(F.sum("_n")).first()[0] or 0) // HOT_PAIRS)
+    hot = F.broadcast(again.filter(F.col("_n") > most).select(*pair))
+    cold = again.filter(F.col("_n") <= most).select(*pair)
+    found_hot = mixed.join(hot, pair, "left_semi")
+    found_cold = mixed.join(hot, pair, "left_anti").join(cold, pair, "left_semi")
+    repeated = known.filter("_same").select(*span).unionByName(found_hot.select(*span)).unionByName(found_cold.select(*span))
+    return repeated, per_content.select(*pair, "_one.*")
 
 
 def removed_spans(repeated: DataFrame) -> DataFrame:
