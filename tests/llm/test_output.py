@@ -70,6 +70,18 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert {r["taken"] // r["size"] for r in some} <= {int(share), int(share) + 1}
 
 
+def test_every_source_comes_within_a_hundredth(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    by = collections.defaultdict(list)
+    for r in QUERIES["op3_mixing"](spark, "/root/testdata/sf0.01").collect():
+        assert r["taken"] <= 3 * r["size"]
+        by[source[r["doc_id"]]].append(r)
+    for some in by.values():
+        least = min(r["size"] for r in some)
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= max(some[0]["target"] / 100, least / 2)
+
+
 def test_mix_of_edges(docs, empty):
     got = mixing.mix_report(docs)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
@@ -90,6 +102,22 @@ def test_mix_runs_no_python(spark, docs):
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
 
 
+def test_ids_of_special_strings_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(token_output, "_MOST_PIECES", 40)
+    encoder = token_output.Encoder(tokenizer_path(), "<u2")
+    end, rng = "<|endoftext|>", np.random.default_rng(4)
+    bits = [end, end[:-1], " ", "  ", "\n", "\t", "a", "Word.", "x,y", "é", "'s", "12", "\r\n", " \n", "…"]
+    texts = [end, f"{end} a", f"a {end}", f"a {end} b", f"a{end}b", f" {end} ", f"{end}{end}", ""]
+    texts += ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(2000)]
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(some)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     made = Tokenizer.from_file(tokenizer_path())

@@ -4,8 +4,9 @@ A document of a source is wanted target / size-of-source times: its whole part i
 for certain, its fractional part is rounded. Rounding takes fractional documents in pairs
 and moves words of expectation from one to the other, at random but without changing
 their sum or anyone's expectation, until one of them is wholly in or out. So a source's
-words stay what they were, but for the one document that is left over at the end and goes
-to the nearer side: a source's taken words are within half a document of its target.
+words stay what they were, but for the one document that is left over at the end, often a
+large one, and goes to the nearer side. That miss is made up by turning round a few small
+documents (``_nearer``), so a source's taken words are within half a small document.
 
 Pairs are made in a tree: hashed blocks of about ``BLOCK`` documents are folded to one
 residual each, the residuals are blocked and folded again, until a source has one. The
@@ -160,7 +161,53 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_z"))
         extra = all_units.join(picked, same, "left")
     count = F.when(F.col("size") == 0, 0).otherwise(F.col("_whole") + F.coalesce("_extra", F.lit(0)))
-    return extra.select("doc_id", "source", "size", "rows", "source_size", "target", count.cast("bigint").alias("copies"))
+    free = (F.col("size") > 0) & (F.col("mass") > 0)
+    each = extra.select(
+        "doc_id", "source", "size", "rows", "source_size", "target", count.cast("bigint").alias("copies"), free.alias("free"), F.coalesce("_extra", F.lit(0)).alias("extra")
+    )
+    return _nearer(stage(each, "mix-rounded"))
+
+
+def _nearer(each: DataFrame) -> DataFrame:
+    """Turns round a few small units of each source, so that its words meet the target.
+
+    What is missing (or too much) after the tree is at most half a large document. It is made
+    up from units that were rounded down (or up), the largest that fit first: counts per size
+    decide how many of each size, hashes which ones. Less than half of the smallest such unit
+    is left, unless there are too few.
+    """
+    whole = F.col("size") * F.col("rows")
+    missing = each.groupBy("source").agg((F.max("target") - F.sum(whole * F.col("copies"))).alias("_missing"))
+    mine = missing.select(F.col("source").alias("_source"), "_missing")
+    joined = each.filter("free").join(mine, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    need, up = F.abs("_missing"), F.col("_missing") > 0
+    able = joined.filter((F.col("extra") == F.when(up, 0).otherwise(1)) & (whole <= 2 * need)).withColumn("_unit", whole)
+    # As many rows for a source as it has different sizes below what is missing.
+    sizes = able.groupBy("source", "_missing", "_unit").agg(F.count(F.lit(1)).alias("_n"))
+    listed = sizes.groupBy("source", "_missing").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_unit", "_n")))).alias("_sizes"))
+
+    def take(state: Column, c: Column) -> Column:
+        k = F.least(c["_n"], F.floor(state["left"] / c["_unit"]))
+        pick = F.struct(c["_unit"].alias("unit"), c["_n"].alias("n"), k.alias("k"))
+        return F.struct((state["left"] - k * c["_unit"]).alias("left"), F.concat(state["picks"], F.array(pick)).alias("picks"))
+
+    start = F.struct(need.alias("left"), F.expr("cast(array() as array<struct<unit:bigint,n:bigint,k:bigint>>)").alias("picks"))
+    done = listed.select("source", F.aggregate("_sizes", start, take).alias("_d"))
+    least = F.element_at("_d.picks", -1)["unit"]
+    picks = done.select("source", F.col("_d.left").alias("_left"), least.alias("_least"), F.inline("_d.picks"))
+    # The smallest unit once more where that comes nearer.
+    more = (F.col("unit") == F.col("_least")) & (2 * F.col("_left") > F.col("unit")) & (F.col("k") < F.col("n"))
+    picks = picks.select(F.col("source").alias("_source"), F.col("unit").alias("_u"), (F.col("k") + more.cast("bigint")).alias("_k")).filter("_k > 0")
+    picks = stage(picks, "mix-picks")
+    most = picks.agg(F.max("_k")).first()[0] or 0
+    order = W.partitionBy("source", "_unit").orderBy(F.xxhash64("doc_id", "size", F.lit(SEED)), "doc_id", "size")
+    # The first bound is the same for all, so Spark applies it before the shuffle.
+    ranked = able.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= most)
+    turned = ranked.join(picks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_unit") == F.col("_u"))).filter("_at <= _k")
+    turned = turned.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), (1 - 2 * F.col("extra")).alias("_turn"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    out = each.join(turned, same, "left").withColumn("copies", F.col("copies") + F.coalesce("_turn", F.lit(0)))
+    return out.select("doc_id", "source", "size", "rows", "source_size", "target", F.col("copies").cast("bigint").alias("copies"))
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
