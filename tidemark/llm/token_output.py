@@ -46,7 +46,7 @@ SAMPLE_BYTES = 16 << 10
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 4_096
 # Documents encoded together; an Arrow batch, which holds 8 MB or one document, bounds their size.
-AT_ONCE = 1_024
+AT_ONCE = 512
 LEVEL = 3
 SHARDS = (
     "part int, seq int, first_id bigint, last_id bigint, n_tokens bigint, dictionary string, "
@@ -56,7 +56,7 @@ READ = "part int, seq int, doc_id bigint, before bigint, n_tokens bigint, ids_cr
 # A space that begins a token: tokens never reach over it.
 _ODD = re.compile(r" (?![!-~\w])")
 _CUT = re.compile(r"(?= [!-~\w])")
-_MOST_PIECES = 1_200_000
+_MOST_PIECES = 800_000
 _LONGEST_PIECE = 48
 
 
