@@ -75,7 +75,30 @@ def wasserstein(
     df: DataFrame, columns: Sequence[str], limit: float | Column = 0.10, blocks: int = BLOCKS
 ) -> DataFrame:
     """Normalised Wasserstein-1 distance per numeric column."""
-    counts = period_counts(df, columns, "double")
+    # One row per column. The spread is a plain mergeable aggregate of the same scan.
+    spread = (
+        df.filter(F.col("period") == "reference")
+        .select([F.col(c).cast("double").alias(c) for c in columns])
+        .agg(*[F.stddev_pop(F.when(_finite(c), F.col(c))).alias(c) for c in columns])
+        .unpivot([], list(columns), "column", "_std")
+    )
+    return wasserstein_of_counts(period_counts(df, columns, "double"), columns, spread, limit, blocks)
+
+
+def spread_of_counts(counts: DataFrame) -> DataFrame:
+    """(column, _std): population deviation of the reference, from counts of values."""
+    n, value = F.col("n_ref"), F.col("value")
+    # One row per column, so it is broadcast; a plain join would gather a column in one task.
+    means = counts.groupBy("column").agg(F.try_divide(F.sum(n * value), F.sum(n)).alias("_mean"))
+    off = value - F.col("_mean")
+    spread = F.sqrt(F.try_divide(F.sum(n * off * off), F.sum(n)))
+    return counts.join(F.broadcast(means), "column").groupBy("column").agg(spread.alias("_std"))
+
+
+def wasserstein_of_counts(
+    counts: DataFrame, columns: Sequence[str], spread: DataFrame, limit: float | Column = 0.10, blocks: int = BLOCKS
+) -> DataFrame:
+    """The distance from (column, value, n_ref, n_cur) and the reference's spread."""
     ranked = running_totals(
         counts, ["column"], "value", ["n_ref", "n_cur"], "column", columns, blocks
     )
@@ -84,22 +107,14 @@ def wasserstein(
     gap = F.abs(upto["n_ref"] - upto["n_cur"])
     width = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     area = ranked.groupBy("column").agg(F.sum(gap * width).alias("_area"))
-    # One row per column. The spread is a plain mergeable aggregate of the same scan.
-    spread = (
-        df.filter(F.col("period") == "reference")
-        .select([F.col(c).cast("double").alias(c) for c in columns])
-        .agg(*[F.stddev_pop(F.when(_finite(c), F.col(c))).alias(c) for c in columns])
-        .unpivot([], list(columns), "column", "_std")
-    )
     scores = area.join(spread, "column").select(
         "column", (F.col("_area") / F.greatest("_std", F.lit(MIN_STD))).alias("score")
     )
     return _scored(scores, "wasserstein", limit)
 
 
-def _shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _shares(counts: DataFrame) -> DataFrame:
     """Category shares per period, next to each column's totals and smallest shares."""
-    counts = period_counts(df, columns, "string")
     # One row of four numbers per name in ``columns``: bounded by the call, so broadcast. A
     # plain join would gather every category of one column in one task.
     totals = counts.groupBy("column").agg(
@@ -118,6 +133,11 @@ def _shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def psi(df: DataFrame, columns: Sequence[str], limit: float | Column = 0.20) -> DataFrame:
     """Population stability index per category column."""
+    return psi_of_counts(period_counts(df, columns, "string"), limit)
+
+
+def psi_of_counts(counts: DataFrame, limit: float | Column = 0.20) -> DataFrame:
+    """The index from (column, value, n_ref, n_cur)."""
 
     def filled(p: str) -> Column:
         low = F.col(f"{p}_min")
@@ -125,7 +145,7 @@ def psi(df: DataFrame, columns: Sequence[str], limit: float | Column = 0.20) ->
         return F.when(F.col(p) == 0, fill).otherwise(F.col(p))
 
     ref, cur = filled("ref"), filled("cur")
-    scores = _shares(df, columns).groupBy("column").agg(
+    scores = _shares(counts).groupBy("column").agg(
         F.sum((ref - cur) * F.log(ref / cur)).alias("score")
     )
     return _scored(scores, "psi", limit)
@@ -140,7 +160,7 @@ def jensen_shannon(df: DataFrame, columns: Sequence[str], limit: float | Column
         return F.coalesce(share * F.log(share / middle), F.lit(0.0))
 
     total = F.sum(part("ref") + part("cur")) / 2
-    scores = _shares(df, columns).groupBy("column").agg(
+    scores = _shares(period_counts(df, columns, "string")).groupBy("column").agg(
         # Rounding may leave a tiny negative for equal distributions.
         F.sqrt(F.greatest(total, F.lit(0.0))).alias("score")
     )

@@ -18,7 +18,7 @@ from tidemark.functions.numeric import (
 )
 from tidemark.functions.text import capitalize, matches_whole
 from tidemark.operators.calendar_tree import calendar_tree, totals_from_tree
-from tidemark.operators import drift, evaluation, latest, preprocessing, quality, scoring, split
+from tidemark.operators import drift, evaluation, importance, latest, period_counts, preprocessing, quality, scoring, split
 from tidemark.operators.history import history_from_features, snapshot_history
 from tidemark.operators.intervals import (
     SnapshotSpec,
@@ -776,6 +776,21 @@ def gate_summary(spark: SparkSession, d: str) -> DataFrame:
     return drift.gate_summary(drift.drift_gate(_periods(spark, d))).drop("by_status")
 
 
+@query("arriving_drift", _DRIFT + "configured_drift")
+def arriving_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The reference and three later deliveries counted as they come, one of them twice."""
+    path = fresh_path(spark, "period_counts")
+    rows = _periods(spark, d)
+    part = F.when(F.col("period") == "reference", 0).otherwise(1 + F.pmod("player_id", F.lit(3)))
+    for batch in (0, 1, 2, 1, 3):
+        some = rows.filter(part == batch).withColumn("delivery", F.concat_ws("-", "period", part))
+        period_counts.append_batch(some, path, batch, period="delivery")
+    merged = fresh_path(spark, "period_counts")
+    period_counts.compact(spark, path, merged)
+    later = [f"current-{i}" for i in (1, 2, 3)]
+    return _rounded(period_counts.stored_drift(spark, merged, ["reference-0"], later), score=6)
+
+
 @query(
     "drift_document",
     """SELECT (SELECT BOOL_AND(status = 'SUCCESS') FROM gate_tests) AS all_passed,
@@ -1195,6 +1210,37 @@ def champion_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("player_id", "valuation_date", value_from_log(F.col("prediction")).alias("predicted_eur"))
 
 
+_TURNED = [*preprocessing.ModelSpec().numeric, *preprocessing.ModelSpec().categories]
+
+
+def _turned_sql(column: str) -> str:
+    """Mean absolute error with one column taken from the row that it is turned to."""
+    moved = FORMULA.replace(column, f"o.{column}")
+    for other in preprocessing.ModelSpec().numeric:
+        if other != column:
+            moved = moved.replace(other, f"r.{other}")
+    return f"""SELECT '{column}' AS name, AVG(ABS(r.y - GREATEST(EXP({moved}) - 1, 0))) AS mae
+        FROM dealt r JOIN dealt o ON o.block = r.block
+          AND o.place = (r.place + 1 + ('0x' || SUBSTR(MD5('42:0:{column}'), 1, 8))::BIGINT % GREATEST(r.size - 1, 1)) % r.size"""
+
+
+@query(
+    "permutation_importance",
+    f"""SELECT name, ROUND(base, 2) AS base_mae, ROUND(mae, 2) AS mae, ROUND(mae - base, 2) AS importance FROM (
+          WITH hashed AS (SELECT *, EXP(log_target_market_value) - 1 AS y, MD5('42|' || player_id || '|' || valuation_date) AS token FROM training),
+               dealt AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY block ORDER BY token) - 1 AS place, COUNT(*) OVER (PARTITION BY block) AS size
+                         FROM (SELECT *, ('0x' || SUBSTR(token, 1, 8))::BIGINT
+                                         % (SELECT CAST(CEIL(COUNT(*) / {importance.BLOCK_ROWS}.0) AS BIGINT) FROM hashed) AS block FROM hashed))
+          SELECT *, (SELECT AVG(ABS(y - GREATEST(EXP({FORMULA}) - 1, 0))) FROM dealt) AS base
+          FROM ({" UNION ALL ".join(_turned_sql(c) for c in _TURNED)}))""",
+)
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Of every input of the formula's model; those that it does not use have none."""
+    rows = standin.staged(spark, d, "training_rows", lambda: training_table(standin.features(spark, d)))
+    found = importance.permutation_importance(MODEL, rows, ["player_id", "valuation_date"])
+    return _rounded(found, base_mae=2, mae=2, importance=2)
+
+
 # Candidates whose fit has a closed form: the mean, and the line through one input.
 
 _CLOSED_SQL = """SELECT {columns} FROM (
