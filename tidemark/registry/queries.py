@@ -18,7 +18,7 @@ from tidemark.functions.numeric import (
 )
 from tidemark.functions.text import capitalize, matches_whole
 from tidemark.operators.calendar_tree import calendar_tree, totals_from_tree
-from tidemark.operators import drift, evaluation, importance, latest, period_counts, preprocessing, quality, scoring, split
+from tidemark.operators import drift, evaluation, importance, latest, period_counts, preprocessing, quality, scoring, split, write_checks
 from tidemark.operators.history import history_from_features, snapshot_history
 from tidemark.operators.intervals import (
     SnapshotSpec,
@@ -659,6 +659,37 @@ def feature_checks(spark: SparkSession, d: str) -> DataFrame:
     return quality.every(standin.features(spark, d), quality.feature_checks())
 
 
+_HOLED = "CASE WHEN player_id % 9 = 0 THEN NULL ELSE {} END"
+_WRITTEN = {
+    "dates_ordered": "valuation_date > prev_valuation_date",
+    "gaps_bounded": "days_between_valuations BETWEEN 30 AND 400",
+    "target_market_value_eur_positive": "target_market_value_eur > 0",
+    "log_target_market_value_positive": "log_target_market_value > 0",
+    "young": "age_at_valuation < 35",
+}
+
+
+@query(
+    "checks_while_writing",
+    "SELECT 'rows' AS kind, 'rows' AS name, COUNT(*) AS count, COUNT(*) > 0 AS ok FROM features UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'check', '{n}', COUNT(*) FILTER (COALESCE({ok}, FALSE) = FALSE), COALESCE(BOOL_AND(COALESCE({ok}, FALSE)), TRUE) FROM written"
+        for n, ok in _WRITTEN.items()
+    ).replace("FROM written", f"FROM (SELECT * REPLACE ({_HOLED.format('age_at_valuation')} AS age_at_valuation) FROM features)")
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'nulls', '{c}', COUNT(*) - COUNT({c}), COUNT(*) = COUNT({c}) FROM (SELECT * REPLACE ({_HOLED.format('age_at_valuation')} AS age_at_valuation) FROM features)"
+        for c in _CRITICAL
+    ),
+)
+def checks_while_writing(spark: SparkSession, d: str) -> DataFrame:
+    """Checks and null counts of the feature table, gathered as it is written, with an age missing here and there."""
+    rows = standin.features(spark, d).withColumn("age_at_valuation", F.when(F.col("player_id") % 9 != 0, F.col("age_at_valuation")))
+    checks = {**quality.feature_checks(), "young": F.col("age_at_valuation") < 35}
+    table, report = write_checks.stage_checked(rows, fresh_path(spark, "checked"), checks, _CRITICAL, optional=["young"])
+    return write_checks.report_rows(table, report)
+
+
 @query(
     "chronological_split",
     """SELECT player_id, valuation_date,
