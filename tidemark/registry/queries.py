@@ -18,7 +18,7 @@ from tidemark.functions.numeric import (
 )
 from tidemark.functions.text import capitalize, matches_whole
 from tidemark.operators.calendar_tree import calendar_tree, totals_from_tree
-from tidemark.operators import drift, evaluation, importance, latest, period_counts, preprocessing, quality, scoring, split, write_checks
+from tidemark.operators import drift, evaluation, importance, latest, period_counts, preprocessing, quality, scoring, split, wide_one_hot, write_checks
 from tidemark.operators.history import history_from_features, snapshot_history
 from tidemark.operators.intervals import (
     SnapshotSpec,
@@ -887,6 +887,26 @@ def one_hot_slots(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(labels, "place").filter("hits > 0").select("slot", F.col("hits").cast("bigint").alias("hits"))
 
 
+@query(
+    "wide_one_hot",
+    """SELECT 'owner' AS "column", CAST(o_custkey AS VARCHAR) AS value, COUNT(*) AS hits, 1 AS slots FROM orders GROUP BY o_custkey
+       UNION ALL SELECT 'status', IFNULL(NULLIF(o_orderstatus, 'F'), 'unknown'), COUNT(*), 1 FROM orders
+       GROUP BY IFNULL(NULLIF(o_orderstatus, 'F'), 'unknown')
+       UNION ALL SELECT '(all)', '(all)', 2 * COUNT(*),
+              COUNT(DISTINCT o_custkey) + COUNT(DISTINCT IFNULL(NULLIF(o_orderstatus, 'F'), 'unknown')) FROM orders""",
+)
+def wide_one_hot_slots(spark: SparkSession, d: str) -> DataFrame:
+    """How often each slot is set, by a dictionary of all owners; and slots and hits in all."""
+    status = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    rows = standin.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), status.alias("status"))
+    words = stage(wide_one_hot.dictionary(rows, ["owner", "status"]), "words")
+    slots = wide_one_hot.encode(rows, words, ["owner", "status"]).select(F.explode("slots").alias("slot"))
+    hits = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("hits"))
+    each = hits.join(words, "slot").groupBy("column", "value").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("slots"))
+    whole = hits.agg(F.lit("(all)").alias("column"), F.lit("(all)").alias("value"), F.sum("hits").alias("hits"), F.max("slot") + 1)
+    return each.union(whole)
+
+
 _LOG_SQL = "0.9 * log_last_known_value + 0.05 * age_at_valuation + 0.01 * goal_contributions_per_90"
 _METRICS_SQL = f"""
     SELECT period, ROUND(AVG(ABS(y - p)), 2) AS mae, ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
