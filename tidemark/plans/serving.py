@@ -93,20 +93,29 @@ def serving_features(
     approximation, kept on purpose.
     """
     ids = catalog.select("player_id")
-    wanted = raw.valuations.join(ids, "player_id", "left_semi")
-    order = [
-        F.col("date").desc(),
-        F.col("market_value_in_eur").desc(),
-        F.col("current_club_name").desc(),
-    ]
-    columns = ["date", "market_value_in_eur", "current_club_name"]
-    two = newest_two(wanted, ["player_id"], order, columns)
+    two = newest_snapshots(raw.valuations.join(ids, "player_id", "left_semi"))
     joined = (
         raw.players.join(ids, "player_id", "left_semi")
         .join(two, "player_id", "left")
         .join(latest_group(raw, ids), "player_id", "left")
         .join(stats, "player_id", "left")
     )
+    return serving_columns(joined, settings)
+
+
+def newest_snapshots(valuations: DataFrame) -> DataFrame:
+    """The two newest snapshots of each entity, on one row."""
+    order = [
+        F.col("date").desc(),
+        F.col("market_value_in_eur").desc(),
+        F.col("current_club_name").desc(),
+    ]
+    columns = ["date", "market_value_in_eur", "current_club_name"]
+    return newest_two(valuations, ["player_id"], order, columns)
+
+
+def serving_columns(joined: DataFrame, settings: Settings) -> DataFrame:
+    """Scoring inputs from entities with their newest snapshots, group and window stats."""
     value = F.coalesce("market_value_in_eur_1", "market_value_in_eur")
     prior = F.coalesce("market_value_in_eur_2", "market_value_in_eur_1", "market_value_in_eur")
     gap = F.coalesce(days_between(F.col("date_2"), F.col("date_1")), F.lit(settings.default_gap).cast("bigint"))

@@ -27,12 +27,14 @@ from tidemark.operators.intervals import (
     interval_join,
     interval_totals,
 )
+from tidemark.plans import colocated
 from tidemark.plans import features as feature_plans
 from tidemark.plans import serving as serving_plans
 from tidemark.plans.audit import with_predictions
 from tidemark.plans.training import training_table
 from tidemark.registry import standin
 from tidemark.registry.sql import with_parts
+from tidemark.sources.colocated import Store
 from tidemark.sources.schemas import SCORING_ROW
 from tidemark.sources.sinks import append_records, fresh_path, stage, write_csv
 from tidemark.streaming import counters, sketches, traffic
@@ -388,6 +390,29 @@ def serving_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _store(spark: SparkSession, d: str) -> Store:
+    """The co-located tables of a data folder, written once per session."""
+
+    def make() -> Store:
+        store = Store(fresh_path(spark, "colocated"), "player_id", buckets=16)
+        raw = standin.raw_tables(spark, d)
+        colocated.fill_store(store, raw, standin.catalog(spark, d), standin.stats(spark, d), standin.features(spark, d))
+        return store
+
+    return standin.once(spark, d, "colocated", make)
+
+
+@query("colocated_serving", "SELECT * FROM serving")
+def colocated_serving(spark: SparkSession, d: str) -> DataFrame:
+    """Scoring inputs by joins of tables that lie in buckets by entity."""
+    return colocated.serving_from_store(spark, _store(spark, d), SETTINGS)
+
+
+@query("colocated_profiles", "SELECT * FROM profiles")
+def colocated_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return colocated.profiles_from_store(spark, _store(spark, d), SETTINGS)
+
+
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
     ids = standin.raw_tables(spark, d).players.select("player_id")
     return serving_plans.hydrate_profiles(
@@ -533,6 +558,16 @@ def feature_history(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(history_from_features(standin.features(spark, d)), val_change_pct=6)
 
 
+@query(
+    "colocated_history",
+    _HISTORY.format(
+        date="valuation_date", value="target_market_value_eur", table="features", group="club_name"
+    ),
+)
+def colocated_history(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(colocated.history_from_store(spark, _store(spark, d)), val_change_pct=6)
+
+
 @query(
     "history_table",
     f"""SELECT player_id, CAST(valuation_date AS VARCHAR) AS "Date", club_name AS "Club",

@@ -135,7 +135,15 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What make() gives, made once per session and data folder."""
+    spot = (spark.sparkContext.applicationId, sf_dir, name)
+    if spot not in _made:
+        _made[spot] = make()
+    return _made[spot]
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -143,10 +151,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
     Later stages read the written feature table, as they would in production.
     """
-    spot = (spark.sparkContext.applicationId, sf_dir, name)
-    if spot not in _staged:
-        _staged[spot] = stage(make(), name)
-    return _staged[spot]
+    return once(spark, sf_dir, name, lambda: stage(make(), name))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
