@@ -99,4 +99,8 @@ QUERIES = {
 }
 
 # DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {"op1_repetition": sql.repetition(), "op5_window_doubling": sql.window_doubling()}
+SQL: dict[str, str] = {
+    "op1_repetition": sql.repetition(),
+    "op2_suffix_dedup": sql.byte_strings(),
+    "op5_window_doubling": sql.window_doubling(),
+}

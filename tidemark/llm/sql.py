@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.repetition import BASE_PERCENT, BASE_WINDOW, BASE_WORDS, LINE_PERCENT, NGRAM_PERCENT, SYMBOL_PERCENT
+from tidemark.llm.suffix_dedup import BYTES
 from tidemark.llm.window_doubling import WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -71,3 +72,40 @@ kept AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(rest, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (rid)"""
+
+
+def byte_strings(n: int = BYTES) -> str:
+    """Every window of n bytes by its MD5. Texts are hexadecimal, cut in overlapping parts:
+    taking a substring walks over what lies before it."""
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS hx,
+         octet_length(encode(coalesce(text, ''))) AS n_bytes
+  FROM documents
+),
+parts AS (
+  SELECT rid, n_bytes, o, substring(hx, 2 * o + 1, {2 * (512 + n - 1)}) AS part
+  FROM texts, unnest(range(0, n_bytes - {n - 1}, 512)) AS t(o)
+),
+windows AS (
+  SELECT rid, o + k AS i, md5_number(substring(part, 2 * k + 1, {2 * n})) AS win
+  FROM parts, unnest(range(0, least(512, n_bytes - {n - 1} - o))) AS t(k)
+),
+twice AS (SELECT rid, i FROM windows WHERE win IN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1)),
+steps AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM twice),
+numbered AS (
+  SELECT rid, i, sum(CASE WHEN p IS NULL OR i > p + {n} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS span FROM steps
+),
+spans AS (SELECT rid, min(i) AS s, max(i) + {n} AS e FROM numbered GROUP BY rid, span),
+gone AS (SELECT rid, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid),
+edges AS (
+  SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS f, s AS t FROM spans
+  UNION ALL SELECT rid, max(e), max(n_bytes) FROM spans JOIN texts USING (rid) GROUP BY rid
+),
+kept AS (
+  SELECT rid, string_agg(substring(hx, (2 * f + 1)::BIGINT, (2 * (t - f))::BIGINT), '' ORDER BY f, t) AS rest
+  FROM edges JOIN texts USING (rid) GROUP BY rid
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, hx))) AS kept_sha256
+FROM texts LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""
