@@ -90,6 +90,13 @@ def test_language_edges(spark, docs):
     assert model.predict("zzz") == ("x", 0.0)
     found = language_id.identify(docs.select("doc_id", "text", F.col("score").alias("other")), model)
     assert found.count() == docs.count()
+    clash = docs.select("doc_id", "text", F.lit("x").alias("Lang_Pred"), F.lit(1).alias("score"), F.lit(2).alias("predicted"))
+    named = language_id.identify(clash, model)
+    assert named.columns == ["doc_id", "text", "predicted", "lang_pred", "score"] and named.count() == docs.count()
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id bigint, toxic int")
+    scored = toxicity.score(clash, toxicity.train(docs, labels, F.lit(True)))
+    assert scored.columns == ["doc_id", "text", "Lang_Pred", "score", "predicted"]
+    assert {r["predicted"] for r in scored.collect()} <= {0, 1}
     kept = language_id.keep_identified(docs, language_id.train(docs, F.lit(True)), 0.1)
     assert kept.columns == docs.columns
     assert not {0, 1, 2, 15} & {r["doc_id"] for r in kept.collect()}

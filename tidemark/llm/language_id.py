@@ -11,7 +11,9 @@ corrected for the filter's rate of false positives, and the largest one decides.
 Defined results: a text that is null or has no letter gives ``und`` with score 0; a text
 none of whose n-grams is known gives the language with most training n-grams, score 0;
 ties go to the language that comes first by code point; training rows without a language
-or an id are not used; without any training row every text gives ``und``.
+or an id are not used; without any training row every text gives ``und``; repeated rows
+are counted and answered each; an empty table gives an empty one. ``identify`` puts its
+columns in place of columns of the same names (in any case) and keeps all others.
 """
 
 from __future__ import annotations
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
         return work
 
-    return append(docs, SCHEMA, make)
+    return append(docs.drop("lang_pred", "score"), SCHEMA, make)
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float) -> DataFrame:

@@ -19,7 +19,7 @@ and committer: a task that is run again replaces what it wrote.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first;
 repeated doc_ids are kept, next to each other, ordered by text; an empty table gives files
-without shards.
+without shards; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

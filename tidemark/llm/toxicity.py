@@ -17,7 +17,10 @@ scored whole.
 Defined results: a null or empty text has no features and gets the score of the bias; with
 no positive or no unlabelled row every score is the class prior (0 without labels);
 labels that are null or whose text is missing are not used; several labels of one id count
-as toxic if one of them is.
+as toxic if one of them is. Repeated rows are answered each and, where the sample takes
+their id, all learned from; texts of equal features have equal scores; an empty table gives
+an empty one. ``score`` puts its columns in place of columns of the same names (in any case)
+and keeps all others.
 """
 
 from __future__ import annotations
@@ -178,4 +181,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
         return work
 
-    return append(docs, "score double, predicted int", make)
+    return append(docs.drop("score", "predicted"), "score double, predicted int", make)
