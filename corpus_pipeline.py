@@ -3,6 +3,12 @@
 The stages, in this order: language identification, near-duplicate removal, benchmark
 decontamination, mixing to target weights, token output. The first four return the columns
 of the documents they are given; rows they keep are unchanged.
+
+Defined results: documents with a null, empty or letterless text have no language and go in
+the first stage; of equal and near texts the smallest doc_id stays (a repeated row is a copy
+of itself); without a benchmark item nothing is contaminated; a document that the mix takes
+n times is written n times; an empty table gives an empty result. Further columns are kept
+until the last stage, whatever their names.
 """
 
 from __future__ import annotations
