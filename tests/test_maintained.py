@@ -153,6 +153,25 @@ def test_counter_rates_batch_and_stream(spark):
     assert got == ended and len(ended) > 300
 
 
+def test_streamed_counter_rates_equal_the_batch(spark):
+    """Many windows that close at once, and samples less than a millisecond apart."""
+    kinds, start = "ts timestamp_ntz, s string, v double", dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(microseconds=i * 9_999_700 + j * 300), s, float((i * 2 + j) % 97)) for i in range(900) for j in range(2) for s in "ab"]
+    samples = spark.createDataFrame(rows + [(start, None, 1.0), (start, None, 4.0)], kinds)
+    base = fresh_path(spark, "counters")
+    samples.write.parquet(f"{base}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", counters.STATE_STORE)
+    try:
+        rates = counters.stream_counter_rates(read_stream(spark, f"{base}/in", samples.schema), ["s"], "v")
+        write_scores(rates, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    end = max(r[0] for r in rows) - dt.timedelta(minutes=1)
+    whole = counters.counter_rates(samples, ["s"], "v").filter(F.col("window_start") + F.expr("INTERVAL 1 MINUTE") <= F.lit(end))
+    got = spark.read.schema(rates.schema).parquet(f"{base}/out")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() > 250
+
+
 def test_sketches_merge_within_the_bound(spark):
     rng = random.Random(7)
     rows = [(dt.datetime(2024, 1, 1 + i % 3, i % 24, i % 60), "ab"[i % 5 == 0], rng.lognormvariate(0, 2)) for i in range(60000)]

@@ -5,9 +5,11 @@ difference, or the later value itself where it is lower than the earlier one (a
 Growth belongs to the window of the later sample; a series' first sample tells of none. Of
 several samples at one time the largest counts.
 
-On a stream a series keeps its last sample and those of windows that are still open; a timer
-at the end of each window works them out in order of time, so samples may arrive out of
-order within the watermark's delay. A window is answered once, when the watermark passes it.
+On a stream the samples of a window wait in an aggregate by window and series until the
+watermark passes it, so they may arrive out of order within the watermark's delay. Each
+closed window is worked out in order of time by itself; only its first and last value, its
+number of samples and its growth go on to the state of its series, which links it to the
+window before: one row per window, however many samples there are. A window is answered once.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.streaming.traffic import _seconds, watermarked
 
 
-# Needed by state with timers.
+# Needed by the state of a series.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,47 +44,31 @@ def counter_rates(samples: DataFrame, series: Sequence[str], value: str, width:
     )
 
 
-def _processor(width: int, names: list[str]) -> StatefulProcessor:
+def _processor(names: list[str]) -> StatefulProcessor:
     """Made here, it goes to the workers by value: they need not have this package."""
 
     class Series(StatefulProcessor):
-        """State of one series: its last sample and those of open windows."""
+        """State of one series: the last value of its newest closed window."""
 
         def init(self, handle) -> None:
-            self.handle = handle
             self.last = handle.getValueState("last", "v double")
-            self.open = handle.getMapState("open", "at bigint", "v double")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            for frame in rows:
-                known = frame.dropna(subset=["at_ms", "sample"])
-                best = known.groupby("at_ms")["sample"].max()
-                for at, v in zip(best.index.tolist(), best.tolist(), strict=True):
-                    spot = (int(at),)
-                    if not self.open.containsKey(spot) or self.open.getValue(spot)[0] < v:
-                        self.open.updateValue(spot, (float(v),))
-                for end in {(int(at) // width + 1) * width for at in best.index}:
-                    self.handle.registerTimer(end)
-            return iter(())
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            end = expiredTimerInfo.getExpiryTimeInMs()
-            ripe = sorted((spot[0], v[0]) for spot, v in self.open.iterator() if spot[0] < end)
-            if not ripe:
+            # One row per window that closed; a later batch closes only later windows.
+            frames = [frame for frame in rows if len(frame)]
+            if not frames:
                 return
-            last = self.last.get()[0] if self.last.exists() else None
-            windows: dict[int, list[float]] = {}
-            for at, v in ripe:
-                found = windows.setdefault(at // width * width, [0, 0.0])
-                found[0] += 1
-                found[1] += 0.0 if last is None else v if v < last else v - last
-                last = v
-                self.open.removeKey((at,))
-            self.last.update((last,))
-            yield pd.DataFrame(
-                [(start, *key, int(n), grown) for start, (n, grown) in windows.items()],
-                columns=["start_ms", *names, "samples", "increase"],
-            )
+            closed = pd.concat(frames).sort_values("start_us")
+            before = closed["last_v"].shift()
+            if self.last.exists():
+                before.iloc[0] = self.last.get()[0]
+            first = closed["first_v"]
+            link = first.where(first < before, first - before).where(before.notna(), 0.0)
+            self.last.update((float(closed["last_v"].iloc[-1]),))
+            out = pd.DataFrame({"start_us": closed["start_us"]})
+            for name, value in zip(names, key, strict=True):
+                out[name] = pd.Series([value] * len(out), index=out.index, dtype="object")
+            yield out.assign(samples=closed["samples"], increase=link + closed["grown_v"])
 
         def close(self) -> None:
             pass
@@ -90,6 +76,27 @@ def _processor(width: int, names: list[str]) -> StatefulProcessor:
     return Series()
 
 
+def _walked(points: Column) -> Column:
+    """(n, first, grown, at, v) of a window's points (at, -value): the last point's at and v."""
+    kinds = "struct<n:bigint,first:double,grown:double,at:bigint,v:double>"
+    none = F.struct(F.lit(0), F.lit(None), F.lit(0.0), F.lit(None), F.lit(None)).cast(kinds)
+
+    def step(so_far: Column, point: Column) -> Column:
+        v, before = -point["down"], so_far["v"]
+        grown = F.when(before.isNull(), 0.0).when(v < before, v).otherwise(v - before)
+        ahead = F.struct(
+            (so_far["n"] + 1).alias("n"),
+            F.coalesce(so_far["first"], v).alias("first"),
+            (so_far["grown"] + grown).alias("grown"),
+            point["at"].alias("at"),
+            v.alias("v"),
+        ).cast(kinds)
+        # Of several points at one time the largest value comes first; the others are passed over.
+        return F.when(point["at"] == so_far["at"], so_far).otherwise(ahead)
+
+    return F.aggregate(F.array_sort(points), none, step)
+
+
 def stream_counter_rates(
     samples: DataFrame, series: Sequence[str], value: str, width: str = "1 minute", ts: str = "ts", delay: str = "1 minute"
 ) -> DataFrame:
@@ -98,13 +105,19 @@ def stream_counter_rates(
     Series columns are strings. Windows are answered in append mode.
     """
     spark = samples.sparkSession
-    millis = int(spark.range(1).select(_seconds(width)).first()[0] * 1000)
-    timed = watermarked(samples, ts, delay)
-    keyed = timed.select(*series, ts, F.unix_millis(ts).alias("at_ms"), F.col(value).cast("double").alias("sample"))
+    seconds = spark.range(1).select(_seconds(width)).first()[0]
+    timed = watermarked(samples, ts, delay).withColumn("_v", F.col(value).cast("double"))
+    known = timed.filter(F.col(ts).isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    point = F.struct(F.unix_micros(ts).alias("at"), (-F.col("_v")).alias("down"))
+    windows = known.groupBy(F.window(ts, width), *series).agg(F.collect_set(point).alias("_points"))
+    walked = windows.select(F.unix_micros("window.start").alias("start_us"), *series, _walked(F.col("_points")).alias("_w"))
+    closed = walked.select(
+        "start_us", *series, F.col("_w.n").alias("samples"), F.col("_w.first").alias("first_v"), F.col("_w.v").alias("last_v"), F.col("_w.grown").alias("grown_v")
+    )
     fields = ", ".join(f"`{c}` string" for c in series)
     kind = samples.schema[ts].dataType
-    out = keyed.groupBy(*series).transformWithStateInPandas(
-        _processor(millis, list(series)), f"start_ms bigint, {fields}, samples bigint, increase double", "Append", "EventTime"
+    out = closed.groupBy(*series).transformWithStateInPandas(
+        _processor(list(series)), f"start_us bigint, {fields}, samples bigint, increase double", "Append", "None"
     )
-    start = F.timestamp_millis("start_ms").cast(kind).alias("window_start")
-    return out.select(start, *series, "samples", "increase", (F.col("increase") / (millis / 1000)).alias("rate"))
+    start = F.timestamp_micros("start_us").cast(kind).alias("window_start")
+    return out.select(start, *series, "samples", "increase", (F.col("increase") / seconds).alias("rate"))
