@@ -54,6 +54,17 @@ def test_tree_totals_of_any_span(spark, facts, top):
         assert (r["facts"], r["group"], r["m"]) == slow_totals(facts, r["k"], r["lo"], r["hi"]), r
 
 
+def test_spans_are_not_broadcast(spark, facts):
+    """A span becomes many rows, so its table is far larger than the planner takes it for."""
+    found = tree.calendar_tree(spark.createDataFrame(facts, FACT_ROWS), facts_spec())
+    spans = spark.createDataFrame([(1, day(3), day(4000))], "k bigint, lo date, hi date")
+    got = tree.totals_from_tree(spans, "k", "lo", "hi", found, ["m"])
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("Initial Plan")[0].splitlines() if "Join" in line and "level" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_nodes_part_a_span_into_few_pieces(spark):
     rng = random.Random(4)
     ends = [tuple(sorted((rng.randrange(-40, 20000), rng.randrange(-40, 20000)))) for _ in range(300)] + [(3, 3), (0, 1)]

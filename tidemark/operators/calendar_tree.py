@@ -21,6 +21,8 @@ from tidemark.operators.intervals import FactSpec, daily_totals
 
 # Nodes of 2^15 days, some 90 years; longer spans take more nodes of that size.
 TOP_LEVEL = 15
+# Nodes up to this level are made where the days of one of its nodes meet.
+BLOCK_LEVEL = 8
 
 
 def _node(day: Column, level: Column | int) -> Column:
@@ -31,21 +33,33 @@ def calendar_tree(facts: DataFrame, spec: FactSpec, top: int = TOP_LEVEL) -> Dat
     """Nodes with facts: key, level, node, facts, newest (day, group) and each measure.
 
     Facts without a date or entity are in no span and left out. Days are summed first, so an
-    entity brings one row per calendar day, repeated once per level before the next sum,
-    which combines map-side.
+    entity brings one row per calendar day. These rows are shuffled once, by entity and block
+    of 2^8 days; the nodes within a block are made there, and only whole blocks go on to the
+    levels above.
     """
+    measures = list(spec.measures)
     days = daily_totals(facts.filter(F.col(spec.date).isNotNull() & F.col(spec.key).isNotNull()), spec)
-    day = F.unix_date("day").cast("bigint")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
-    rows = days.select("*", levels).select(
-        spec.key,
-        "level",
-        _node(day, F.col("level")).alias("node"),
-        "facts",
-        F.struct("day", "group").alias("newest"),
-        *spec.measures,
+    low, day = min(BLOCK_LEVEL, top), F.unix_date("day").cast("bigint")
+    blocks = days.withColumns({"_block": _node(day, low), "_at": day}).repartition(spec.key, "_block")
+    inside = _lifted(blocks, spec.key, measures, 0, low, "_block")
+    if low == top:
+        return inside
+    above = _lifted(inside.filter(F.col("level") == low).selectExpr("*", "newest.day", "newest.group", f"shiftleft(node, {low}) AS _at"), spec.key, measures, low + 1, top)
+    return inside.unionByName(above)
+
+
+def _lifted(rows: DataFrame, key: str, measures: Sequence[str], first: int, last: int, *block: str) -> DataFrame:
+    """The nodes of levels first to last over rows with their day (or its node's begin) in ``_at``.
+
+    A node's rows have different days, so its newest group needs no order among groups, and
+    all that is kept has a fixed width: the sums are hashed, not sorted.
+    """
+    levels = rows.drop("level", "node", "newest").withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    nodes = levels.groupBy(key, *block, "level", _node(F.col("_at"), F.col("level")).alias("node")).agg(
+        F.sum("facts").alias("facts"), F.max("day").alias("_day"), F.max_by("group", "day").alias("_group"), *[F.sum(c).alias(c) for c in measures]
     )
-    return _merged(rows, spec.key, list(spec.measures))
+    newest = F.struct(F.col("_day").alias("day"), F.col("_group").alias("group")).alias("newest")
+    return nodes.select(key, "level", "node", "facts", newest, *measures)
 
 
 def _merged(rows: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
@@ -100,10 +114,11 @@ def totals_from_tree(
     ends = spans.select(key, low, high).distinct()
     cut = ends.select("*", F.explode(nodes_of(F.col(low), F.col(high), top)).alias("_n"))
     cut = cut.select(key, low, high, F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
-    found = (
-        cut.join(tree, [key, "level", "node"])
-        .groupBy(key, low, high)
-        .agg(F.sum("facts").alias("facts"), F.max("newest").alias("_newest"), *[F.sum(c).alias(c) for c in measures])
+    # A span is many rows here, which the planner's sizes do not show; neither side is sent whole.
+    parts = cut.hint("merge").join(tree, [key, "level", "node"]).withColumns({"_day": F.col("newest.day"), "_group": F.col("newest.group")})
+    # Nodes of a span share no day: the newest group needs no order among groups.
+    found = parts.groupBy(key, low, high).agg(
+        F.sum("facts").alias("facts"), F.max_by("_group", "_day").alias("_group"), *[F.sum(c).alias(c) for c in measures]
     )
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (key, low, high)]
     return (
@@ -112,7 +127,7 @@ def totals_from_tree(
         .select(
             *[F.col(f"s.{c}").alias(c) for c in (key, low, high)],
             F.coalesce("t.facts", F.lit(0)).alias("facts"),
-            F.col("t._newest.group").alias("group"),
+            F.col("t._group").alias("group"),
             *[F.col(f"t.{c}").alias(c) for c in measures],
         )
     )
