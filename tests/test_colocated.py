@@ -66,3 +66,13 @@ def test_hot_keys_are_refused_null_keys_left_out_and_tables_replaced(spark):
     assert sorted(store.write(rows, "t", most_per_key=2).collect(), key=str) == sorted([(1, "a"), (1, "b"), (2, None)], key=str)
     store.write(rows.limit(0), "t")
     assert store.read(spark, "t").count() == 0 and store.read(spark, "t").columns == ["k", "v"]
+
+
+def test_windows_over_staged_tables_need_no_exchange(spark, no_broadcast):
+    """Facts and snapshots lie by entity; what a plan makes of them per entity and day is not shuffled."""
+    raw = standin.raw_tables(spark, SF)
+    assert exchanges(library._spans(spark, SF)) == 0
+    assert exchanges(raw.appearances.groupBy("player_id").agg(F.max("date"))) == 0
+    plain = raw.plain
+    assert sorted(map(str, raw.appearances.collect())) == sorted(map(str, plain.appearances.select(raw.appearances.columns).collect()))
+    assert sorted(map(str, raw.valuations.collect())) == sorted(map(str, plain.valuations.collect()))

@@ -12,7 +12,6 @@ from tidemark.operators.intervals import (
     FactSpec,
     SnapshotSpec,
     interval_totals,
-    interval_totals_by_join,
 )
 from tidemark.operators.latest import newest_per_key
 from tidemark.sources.raw import RawTables
@@ -135,10 +134,10 @@ def latest_window_stats(
     # Facts outside all spans stay in the scan, and so do those of entities without one.
     first, last = spans.agg(F.min("prev_valuation_date")).scalar(), spans.agg(F.max("valuation_date")).scalar()
     facts = raw.appearances.filter((F.col("date") > first) & (F.col("date") <= last))
-    facts = facts.join(spans.select("player_id"), "player_id", "left_semi")
-    totals = interval_totals_by_join(
-        spans, "player_id", "prev_valuation_date", "valuation_date", facts, fact_spec(measures)
-    )
+    # An entity has one span, so its facts meet one row each and nothing has to be cut up.
+    inside = facts.join(spans, "player_id").filter((F.col("date") > F.col("prev_valuation_date")) & (F.col("date") <= F.col("valuation_date")))
+    sums = inside.groupBy("player_id").agg(*[F.sum(expr).alias(name) for name, expr in measures.items()])
+    totals = spans.join(sums, "player_id", "left")
     return totals.select(
         "player_id",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(f"window_{c}") for c in measures],

@@ -7,13 +7,15 @@ appearances, supplier -> clubs. The mapping only renames and derives columns.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.sources.raw import RawTables, typed
-from tidemark.sources.sinks import stage
+from tidemark.sources.sinks import fresh_path, stage
 
 ACTIVE = tuple(f"Supplier#{i:09d}" for i in range(20))
 SETTINGS = Settings(
@@ -79,24 +81,33 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts without their id, which is made of order and goals: they are cut to these narrow
+    columns before they meet their orders, as what a line keeps is what it brings into the join."""
     owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("appearance_id"),
-            F.col("o_custkey").alias("player_id"),
-            F.col("l_suppkey").alias("player_club_id"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            F.col("l_returnflag").alias("competition_id"),
-            (F.col("l_quantity").cast("bigint") * 30).alias("minutes_played"),
-            F.col("l_linenumber").cast("bigint").alias("goals"),
-            F.round(F.col("l_tax") * 100).cast("bigint").alias("assists"),
-            F.round(F.col("l_discount") * 100).cast("bigint").alias("yellow_cards"),
-            F.when(F.col("l_linestatus") == "F", 1).otherwise(0).cast("bigint").alias("red_cards"),
-        )
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.col("l_suppkey").alias("player_club_id"),
+        F.col("l_shipdate").cast("date").alias("date"),
+        F.col("l_returnflag").alias("competition_id"),
+        (F.col("l_quantity").cast("bigint") * 30).alias("minutes_played"),
+        F.col("l_linenumber").cast("bigint").alias("goals"),
+        F.round(F.col("l_tax") * 100).cast("bigint").alias("assists"),
+        F.round(F.col("l_discount") * 100).cast("bigint").alias("yellow_cards"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(0).cast("bigint").alias("red_cards"),
     )
+    return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "player_id").drop("o_orderkey")
+
+
+_FACT_COLUMNS = ("player_id", "player_club_id", "date", "competition_id", "minutes_played", "goals", "assists", "yellow_cards", "red_cards")
+
+
+def _with_ids(facts: DataFrame) -> DataFrame:
+    return facts.select(F.concat_ws("-", "l_orderkey", "goals").alias("appearance_id"), *_FACT_COLUMNS)
+
+
+def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_ids(_facts(spark, sf_dir))
 
 
 def clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,20 +118,54 @@ def clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_raw: dict[tuple[str, str], RawTables] = {}
+class StagedTables:
+    """The typed raw tables, each opened or made when it is first asked for.
 
+    Facts and snapshots are written once in buckets by entity, as every plan groups them by
+    it: lines meet their orders once, and no later step shuffles either table by entity again.
+    """
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    """The typed raw tables; only their plans are kept, no data."""
-    spot = (spark.sparkContext.applicationId, sf_dir)
-    if spot not in _raw:
-        _raw[spot] = typed(
-            valuations(spark, sf_dir),
-            players(spark, sf_dir),
-            appearances(spark, sf_dir),
-            clubs(spark, sf_dir),
-        )
-    return _raw[spot]
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._from = spark, sf_dir
+
+    @cached_property
+    def plain(self) -> RawTables:
+        """The same tables as plans over the given files, for what reads rows once and in any place."""
+        spark, sf_dir = self._from
+        return typed(valuations(spark, sf_dir), players(spark, sf_dir), appearances(spark, sf_dir), clubs(spark, sf_dir))
+
+    @property
+    def players(self) -> DataFrame:
+        return self.plain.players
+
+    @property
+    def clubs(self) -> DataFrame:
+        return self.plain.clubs
+
+    @cached_property
+    def valuations(self) -> DataFrame:
+        return by_entity(self.plain.valuations, "valuations")
+
+    @cached_property
+    def appearances(self) -> DataFrame:
+        facts = _with_ids(by_entity(_facts(*self._from), "appearances"))
+        return typed(self.plain.valuations, self.plain.players, facts, self.plain.clubs).appearances
+
+
+def by_entity(df: DataFrame, name: str) -> DataFrame:
+    """df written in as many buckets by entity as a shuffle has partitions; null entities share one."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, name)
+    entry = f"tidemark_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, "player_id").write.format("parquet").bucketBy(buckets, "player_id")
+    writer.option("path", path).saveAsTable(entry)
+    return spark.table(entry)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> StagedTables:
+    """The typed raw tables of a data folder, the same ones throughout a session."""
+    return once(spark, sf_dir, "raw", lambda: StagedTables(spark, sf_dir))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
