@@ -76,3 +76,13 @@ def test_windows_over_staged_tables_need_no_exchange(spark, no_broadcast):
     plain = raw.plain
     assert sorted(map(str, raw.appearances.collect())) == sorted(map(str, plain.appearances.select(raw.appearances.columns).collect()))
     assert sorted(map(str, raw.valuations.collect())) == sorted(map(str, plain.valuations.collect()))
+
+
+def test_a_history_writes_only_the_features(spark):
+    """Without scoring inputs, and in as many buckets as a shuffle has partitions."""
+    folder = f"{SF}/"
+    library.colocated_history(spark, folder)
+    store = library._feature_store(spark, folder)
+    assert store.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.read(spark, "stats")

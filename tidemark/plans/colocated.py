@@ -19,12 +19,17 @@ from tidemark.sources.raw import RawTables
 
 def fill_store(store: Store, raw: RawTables, catalog: DataFrame, stats: DataFrame, features: DataFrame) -> None:
     """Writes what serving reads; each table but ``features`` has one row per entity."""
+    fill_entities(store, raw, catalog, stats)
+    store.write(features, "features")
+
+
+def fill_entities(store: Store, raw: RawTables, catalog: DataFrame, stats: DataFrame) -> None:
+    """The tables with one row per entity; a history needs none of them."""
     store.write(raw.players, "players", most_per_key=1)
     store.write(newest_snapshots(raw.valuations), "newest_snapshots", most_per_key=1)
     store.write(latest_group(raw), "latest_group", most_per_key=1)
     store.write(stats, "stats", most_per_key=1)
     store.write(catalog.select("player_id"), "wanted", most_per_key=1)
-    store.write(features, "features")
 
 
 def serving_from_store(spark: SparkSession, store: Store, settings: Settings = Settings()) -> DataFrame:

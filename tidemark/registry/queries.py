@@ -391,13 +391,24 @@ def serving_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _feature_store(spark: SparkSession, d: str) -> Store:
+    """The features of a data folder by entity, in as many buckets as a shuffle has partitions."""
+
+    def make() -> Store:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        store = Store(fresh_path(spark, "colocated"), "player_id", buckets)
+        store.write(standin.features(spark, d), "features")
+        return store
+
+    return standin.once(spark, d, "colocated_features", make)
+
+
 def _store(spark: SparkSession, d: str) -> Store:
     """The co-located tables of a data folder, written once per session."""
 
     def make() -> Store:
-        store = Store(fresh_path(spark, "colocated"), "player_id", buckets=16)
-        raw = standin.raw_tables(spark, d)
-        colocated.fill_store(store, raw, standin.catalog(spark, d), standin.stats(spark, d), standin.features(spark, d))
+        store = _feature_store(spark, d)
+        colocated.fill_entities(store, standin.raw_tables(spark, d), standin.catalog(spark, d), standin.stats(spark, d))
         return store
 
     return standin.once(spark, d, "colocated", make)
@@ -566,7 +577,7 @@ def feature_history(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def colocated_history(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(colocated.history_from_store(spark, _store(spark, d)), val_change_pct=6)
+    return _rounded(colocated.history_from_store(spark, _feature_store(spark, d)), val_change_pct=6)
 
 
 @query(
