@@ -21,6 +21,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import wide_trees
 from tidemark.operators.ordered import exact_quantile
 from tidemark.sources.sinks import stage
 
@@ -71,7 +72,7 @@ class MedianBoosting(Estimator):
         self.grower = grower
 
     def _fit(self, df: DataFrame) -> MedianBoostingModel:
-        grown = self.grower.fit(df)
+        grown = wide_trees.fit(self.grower, df)
         return MedianBoostingModel(grown, refit_leaves(grown, df, self.grower.getLabelCol()))
 
 

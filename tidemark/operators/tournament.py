@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import wide_trees
 from tidemark.operators.absolute_loss import MedianBoosting
 from tidemark.operators.evaluation import TOLERANCE, promoted, regression_metrics
 from tidemark.operators.preprocessing import ModelSpec, feature_names, fit_preprocessor
@@ -97,7 +98,7 @@ def leaderboard(
 
     def run(item: tuple[int, tuple[str, Estimator]]) -> tuple:
         place, (name, estimator) = item
-        m = _metrics(estimator.fit(coded[0]).transform(coded[1]), spec)
+        m = _metrics(wide_trees.fit(estimator, coded[0]).transform(coded[1]), spec)
         return run_id, place, name, "val", m["mae"], m["rmse"], m["r2"]
 
     try:
@@ -127,7 +128,7 @@ def fit_model(df: DataFrame, estimator: Estimator, spec: ModelSpec = ModelSpec()
     prep = fit_preprocessor(df, spec)
     coded = prep.transform(df).select(spec.features, spec.target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return PipelineModel([*prep.stages, estimator.fit(coded)])
+        return PipelineModel([*prep.stages, wide_trees.fit(estimator, coded)])
     finally:
         coded.unpersist()
 
