@@ -183,7 +183,7 @@ class _Learner:
             trees.append(tree)
             weights.append(weight)
             values = [weight * tree[i].value if i in tree else 0.0 for i in range(2 << self.depth)]
-            rows = placed.withColumn("_f", F.col("_f") + F.get(F.lit(values), F.get("_at", F.lit(0))))
+            rows = placed.withColumn("_f", F.col("_f") + F.get(F.lit(values), "node")).drop("tree", "w", "node")
         return trees, weights
 
     def _forest(self, rows: DataFrame) -> tuple[list[Tree], list[float]]:
@@ -208,7 +208,7 @@ class _Learner:
     # --- one tree, or all trees of a forest at once ------------------------------------
 
     def _grow(self, rows: DataFrame, count: int) -> tuple[list[Tree], DataFrame]:
-        """Trees over _r, level by level, and the rows with the place of their node per tree."""
+        """Trees over _r, level by level, and a row for each row and tree with the place of its node."""
         of_tree = rows.select("_r", F.posexplode("_bag").alias("tree", "w")).groupBy("tree")
         w, r = F.col("w"), F.col("_r")
         sums = [F.sum(w).cast("double").alias("n"), F.sum(w * r).alias("s"), F.sum(w * r * r).alias("q")]
@@ -216,13 +216,13 @@ class _Learner:
         trees: list[Tree] = [{1: Node(0.0, 0.0, 0.0)} for _ in range(count)]
         for root in roots:
             trees[root["tree"]][1] = Node(root["n"], root["s"], root["q"])
-        rows = rows.withColumn("_at", F.array_repeat(F.lit(1), count))
+        rows = rows.select("*", F.posexplode("_bag").alias("tree", "w")).drop("_bag").withColumn("node", F.lit(1))
         for level in range(self.depth):
             first = 1 << level
             found = self._splits(rows, trees, first, sums)
             if not found:
                 break
-            spots, codes = [-1] * (count * first), [-1] * (count * first)
+            steps = []
             for f in found:
                 tree, place = trees[f["tree"]], f["node"]
                 node, near = tree[place], Node(f["n"], f["s"], f["q"])
@@ -230,23 +230,19 @@ class _Learner:
                 node.slot, node.gain = f["slot"], f["gain"]
                 number = node.slot < self.base
                 tree[2 * place], tree[2 * place + 1] = (near, far) if number else (far, near)
-                at = f["tree"] * first + place - first
                 # A row goes right by a higher bin of the number, or if it has the slot.
-                spots[at] = self.spots[node.slot // self.bins] if number else -1
-                codes[at] = node.slot + 1 if number else node.slot
-            rows = rows.withColumn("_at", F.array(*[self._step(t, F.lit(spots), F.lit(codes), first) for t in range(count)]))
-            if count > 1:
-                rows = stage(rows, "grown")
+                spot, code = (self.spots[node.slot // self.bins], node.slot + 1) if number else (-1, node.slot)
+                steps.append((f["tree"], place, spot, code))
+            rows = self._stepped(rows, steps)
         return trees, rows
 
-    @staticmethod
-    def _step(tree: int, spots: Column, codes: Column, first: int) -> Column:
-        """The place of a row in a tree once the level that begins with ``first`` is split."""
-        node = F.get("_at", F.lit(tree))
-        at = node + (tree * first - first)
-        spot, code = F.get(spots, at), F.get(codes, at)
+    def _stepped(self, rows: DataFrame, steps: list[tuple[int, int, int, int]]) -> DataFrame:
+        """Rows of split nodes go on to a child; as many steps as a level has nodes."""
+        table = F.broadcast(self.spark.createDataFrame(steps, "tree int, node int, _spot int, _code int"))
+        spot, code = F.col("_spot"), F.col("_code")
         right = F.when(spot >= 0, F.get("_slots", spot) >= code).otherwise(F.array_contains("_slots", code))
-        return F.when((node >= first) & (code >= 0), 2 * node + right.cast("int")).otherwise(node)
+        after = F.when(code.isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("int"))
+        return rows.join(table, ["tree", "node"], "left").withColumn("node", after).drop("_spot", "_code")
 
     def _splits(self, rows: DataFrame, trees: list[Tree], first: int, sums: list[Column]) -> list:
         """The best split of each node of a level that has one."""
@@ -261,9 +257,7 @@ class _Learner:
             return []
         # As many rows as the level has nodes.
         totals = self.spark.createDataFrame(wanted, "tree int, node int, _n double, _s double, _q double")
-        each = rows.select("_r", "_slots", F.posexplode(F.arrays_zip("_bag", "_at")).alias("tree", "_e"))
-        each = each.select("_r", "_slots", "tree", F.col("_e._bag").alias("w"), F.col("_e._at").alias("node"))
-        each = each.filter((F.col("w") > 0) & (F.col("node") >= first)).withColumn("slot", F.explode("_slots")).drop("_slots")
+        each = rows.filter((F.col("w") > 0) & (F.col("node") >= first)).select("_r", "tree", "w", "node", F.explode("_slots").alias("slot"))
         feature = F.when(F.col("slot") < self.base, F.floor(F.col("slot") / self.bins).cast("int")).otherwise(F.col("slot"))
         if self.share < 1:
             looked = F.pmod(F.xxhash64(F.lit(self.seed), "tree", "node", feature), F.lit(1 << 30))
