@@ -86,3 +86,29 @@ def test_a_history_writes_only_the_features(spark):
     assert store.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         store.read(spark, "stats")
+
+
+def test_buckets_grow_with_the_facts(spark, tmp_path, monkeypatch):
+    """A task's share of facts stays the same, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(standin, "BUCKET_ROWS", 20)
+    ids = spark.range(90)
+    made = {
+        "customer": ids.selectExpr("id AS c_custkey", "'c' AS c_name", "1 AS c_nationkey", "0D AS c_acctbal", "'m' AS c_mktsegment"),
+        "nation": ids.limit(1).selectExpr("1 AS n_nationkey", "'n' AS n_name", "1 AS n_regionkey"),
+        "supplier": ids.selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey", "0D AS s_acctbal"),
+        "orders": ids.selectExpr(
+            "id AS o_orderkey", "nullif(id, 3) AS o_custkey", "'F' AS o_orderstatus", "1D AS o_totalprice",
+            "TIMESTAMP_NTZ '1996-01-01' AS o_orderdate", "'1-X' AS o_orderpriority",
+        ),
+        "lineitem": spark.range(180).selectExpr(
+            "id % 90 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "CAST(id AS int) AS l_linenumber", "1D AS l_quantity", "1D AS l_extendedprice",
+            "0D AS l_discount", "0D AS l_tax", "'R' AS l_returnflag", "'F' AS l_linestatus", "TIMESTAMP_NTZ '1996-01-01' AS l_shipdate",
+        ),
+    }
+    for name, rows in made.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    raw = standin.raw_tables(spark, str(tmp_path))
+    for rows, n in ((raw.appearances, 180), (raw.valuations, 90)):
+        files = rows.groupBy(F.input_file_name()).count().collect()
+        assert len(files) == 9 > int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in files) == n
+    assert sorted(map(str, raw.appearances.collect())) == sorted(map(str, raw.plain.appearances.collect()))

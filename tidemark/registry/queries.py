@@ -392,11 +392,10 @@ def serving_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feature_store(spark: SparkSession, d: str) -> Store:
-    """The features of a data folder by entity, in as many buckets as a shuffle has partitions."""
+    """The features of a data folder by entity, in as many buckets as its facts."""
 
     def make() -> Store:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        store = Store(fresh_path(spark, "colocated"), "player_id", buckets)
+        store = Store(fresh_path(spark, "colocated"), "player_id", standin.buckets(spark, d))
         store.write(standin.features(spark, d), "features")
         return store
 

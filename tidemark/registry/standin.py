@@ -17,6 +17,8 @@ from tidemark.config import Settings
 from tidemark.sources.raw import RawTables, typed
 from tidemark.sources.sinks import fresh_path, stage
 
+# Facts of a bucket; with its snapshots, hash tables and sorts a task then takes some 200 MB.
+BUCKET_ROWS = 1 << 18
 ACTIVE = tuple(f"Supplier#{i:09d}" for i in range(20))
 SETTINGS = Settings(
     required_category="R",
@@ -81,6 +83,17 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that facts and snapshots are dealt into: as many as a shuffle has, and more where
+    each would hold more than BUCKET_ROWS rows, so that a task's share does not grow with the tables."""
+
+    def make() -> int:
+        rows = max(table(spark, sf_dir, name).count() for name in ("lineitem", "orders"))
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+    return once(spark, sf_dir, "buckets", make)
+
+
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts without their id, which is made of order and goals: they are cut to these narrow
     columns before they meet their orders, as what a line keeps is what it brings into the join."""
@@ -96,6 +109,9 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_discount") * 100).cast("bigint").alias("yellow_cards"),
         F.when(F.col("l_linestatus") == "F", 1).otherwise(0).cast("bigint").alias("red_cards"),
     )
+    parts = buckets(spark, sf_dir)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines, owners = lines.repartition(parts, "l_orderkey"), owners.repartition(parts, "o_orderkey")
     return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "player_id").drop("o_orderkey")
 
 
@@ -144,21 +160,20 @@ class StagedTables:
 
     @cached_property
     def valuations(self) -> DataFrame:
-        return by_entity(self.plain.valuations, "valuations")
+        return by_entity(self.plain.valuations, "valuations", buckets(*self._from))
 
     @cached_property
     def appearances(self) -> DataFrame:
-        facts = _with_ids(by_entity(_facts(*self._from), "appearances"))
+        facts = _with_ids(by_entity(_facts(*self._from), "appearances", buckets(*self._from)))
         return typed(self.plain.valuations, self.plain.players, facts, self.plain.clubs).appearances
 
 
-def by_entity(df: DataFrame, name: str) -> DataFrame:
-    """df written in as many buckets by entity as a shuffle has partitions; null entities share one."""
+def by_entity(df: DataFrame, name: str, parts: int) -> DataFrame:
+    """df written in buckets by entity; null entities share one."""
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, name)
     entry = f"tidemark_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, "player_id").write.format("parquet").bucketBy(buckets, "player_id")
+    writer = df.repartition(parts, "player_id").write.format("parquet").bucketBy(parts, "player_id")
     writer.option("path", path).saveAsTable(entry)
     return spark.table(entry)
 
