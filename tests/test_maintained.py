@@ -108,6 +108,25 @@ def test_batches_equal_a_full_recompute(spark, facts):
     assert len(rewritten[1]) == len(rewritten[2]) == 1 and rewritten[3] == []
 
 
+def test_late_batches_write_their_entities_only(spark, facts, monkeypatch):
+    """After MOST_LATE of them all is written anew, and reading stays as short as before."""
+    monkeypatch.setattr(maintenance, "MOST_LATE", 2)
+    spec, kinds = SnapshotSpec("k", "d", "v"), "k bigint, d date, v bigint"
+    store = maintenance.WindowStore(fresh_path(spark, "windows"), spec, facts_spec(), buckets=4)
+    snaps = [(k, day(n), n % 11) for k in range(1, 6) for n in range(0, 12000, 700)]
+    dated = [f for f in facts if f[1] is not None]
+    for i in range(7):
+        some = [s for s in snaps if i == 0 or s[0] == i % 3 + 1][i::8], [f for f in dated if i == 0 or f[0] == i % 3 + 1][i::8]
+        whole = some if i == 0 else (whole[0] + some[0], whole[1] + some[1])
+        maintenance.apply_batch(spark, store, i, spark.createDataFrame(some[0], kinds), spark.createDataFrame(some[1], FACT_ROWS))
+        want = interval_totals(spark.createDataFrame(whole[0], kinds), spec, spark.createDataFrame(whole[1], FACT_ROWS), facts_spec())
+        got = maintenance.current_windows(spark, store)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        wrote = {r["k"] for r in store.tables.read(spark, f"windows_{i}").collect()}
+        assert wrote == ({1, 2, 3, 4, 5} if i % 3 == 0 else {i % 3 + 1})
+        assert len(maintenance._versions(spark, store, None)) == i % 3 + 1
+
+
 def slow_rates(samples, width):
     best = {}
     for at, series, v in samples:

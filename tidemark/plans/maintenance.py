@@ -2,29 +2,34 @@
 
 The state of an entity is its rows per day (largest snapshot value, counts and sums of
 facts), which can be merged. A batch of snapshots and facts, of whatever dates, is summed per
-entity and day, merged into the days of the entities it names, and the windows of just those
-entities are worked out again. Both tables are cut into buckets by entity; a batch writes
-new versions of the buckets it touches and never changes what was written before:
+entity and day and kept as it is; the windows of just the entities it names are worked out
+again, from their days in all batches. All tables lie in buckets by entity
+(``sources.colocated``), so batches, days and windows meet without a shuffle:
 
-``days/version=<batch>/bucket=<b>`` and ``windows/version=<batch>/bucket=<b>``
+``days_<batch>`` and ``windows_<batch>``, of the entities of the batch
 
-A bucket's newest version is the one that counts. A batch reads only versions before its
-own, so running it again after a failure replaces what the first try wrote. ``versions``
-has one small row for each bucket and batch, written last: a batch counts once it is there.
+An entity's newest windows are the ones that count. After ``MOST_LATE`` batches the next one
+writes all days (``merged_<batch>``) and all windows, and what was before is no longer read. A
+batch reads only batches before its own and changes none of them, so running it again after a
+failure replaces what the first try wrote. ``versions`` has one small row for each batch,
+written last: a batch counts once it is there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import FactSpec, SnapshotSpec, day_totals, entity_days, merged_days
+from tidemark.sources.colocated import Store
 
 BUCKETS = 64
+# Late batches that are read beside the last one that wrote everything.
+MOST_LATE = 8
 
 
 @dataclass(frozen=True)
@@ -42,71 +47,86 @@ class WindowStore:
     def key(self) -> str:
         return self.facts.key
 
+    @property
+    def tables(self) -> Store:
+        return Store(self.path, self.key, self.buckets, ordered=False)
+
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        """The bucket of an entity in every table."""
+        return F.pmod(F.hash(self.key), F.lit(self.buckets))
 
 
-def _versions(spark: SparkSession, store: WindowStore, before: int | None) -> dict[int, int]:
-    """Newest version of each bucket, among batches before one; at most ``buckets`` rows."""
+def _versions(spark: SparkSession, store: WindowStore, before: int | None) -> list[Row]:
+    """The batches that count, oldest first, among those before one; at most 1 + MOST_LATE rows."""
     try:
-        rows = spark.read.schema("bucket int, version int").parquet(f"{store.path}/versions")
+        rows = spark.read.schema("version int, whole boolean, days string").parquet(f"{store.path}/versions")
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
-        return {}
+        return []
     if before is not None:
         rows = rows.filter(F.col("version") < before)
-    return {r["bucket"]: r["version"] for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+    first = rows.filter("whole").agg(F.max("version")).scalar()
+    return sorted(rows.filter(F.col("version") >= first).collect(), key=lambda r: r["version"])
 
 
-def _read(spark: SparkSession, store: WindowStore, table: str, versions: dict[int, int], buckets: Sequence[int] | None = None):
-    """The newest version of the buckets: only their files are listed and read; None if there are none."""
-    wanted = sorted(versions if buckets is None else set(versions) & set(buckets))
-    if not wanted:
-        return None
-    paths = [f"{store.path}/{table}/version={versions[b]}/bucket={b}" for b in wanted]
-    return spark.read.parquet(*paths)
+def _union(some: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, some)
 
 
-def _write(df: DataFrame, store: WindowStore, table: str, batch: int) -> DataFrame:
-    path = f"{store.path}/{table}/version={batch}"
-    df.withColumn("bucket", store.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _entities(days: DataFrame, key: str) -> DataFrame:
+    """The entities of some days, to be looked up in a hash table of their bucket."""
+    return days.select(key).distinct().hint("shuffle_hash")
+
+
+def _windows(spark: SparkSession, store: WindowStore, versions: list[Row], days: list[DataFrame]) -> list[DataFrame]:
+    """The windows of each version, without the entities of later ones; ``days`` are those of the versions."""
+    found = []
+    for i, r in enumerate(versions):
+        windows = store.tables.read(spark, f"windows_{r['version']}")
+        if days[i + 1 :]:
+            windows = windows.join(_entities(_union(days[i + 1 :]), store.key), store.key, "left_anti")
+        found.append(windows)
+    return found
 
 
 def apply_batch(spark: SparkSession, store: WindowStore, batch: int, snapshots: DataFrame, facts: DataFrame) -> list[int]:
-    """Merges one batch; returns the buckets it rewrote. Batches are numbered upwards.
+    """Merges one batch; returns the buckets of its entities. Batches are numbered upwards.
 
     Rows without an entity belong to no window and are left out. An empty batch changes nothing.
     """
-    key, measures = store.key, list(store.facts.measures)
-    fresh = entity_days(snapshots, store.snapshots, facts, store.facts).filter(F.col(key).isNotNull())
-    fresh_path = f"{store.path}/batches/version={batch}"
-    fresh.write.mode("overwrite").parquet(fresh_path)
-    fresh = spark.read.schema(fresh.schema).parquet(fresh_path)
+    key, measures, tables = store.key, list(store.facts.measures), store.tables
+    # One row per entity and day: the calendar bounds the rows of an entity.
+    fresh = tables.write(entity_days(snapshots, store.snapshots, facts, store.facts), f"days_{batch}", None)
     # At most as many rows as there are buckets.
     touched = sorted(r[0] for r in fresh.select(store.bucket()).distinct().collect())
     if not touched:
         return []
     versions = _versions(spark, store, batch)
-    entities = fresh.select(key).distinct()
-    old = _read(spark, store, "days", versions, touched)
-    days = fresh if old is None else merged_days(old.unionByName(fresh), key, measures)
-    days = _write(days, store, "days", batch)
-    windows = day_totals(days.join(entities, key, "left_semi"), key, measures, store.trailing_days, store.trailing)
-    kept = _read(spark, store, "windows", versions, touched)
-    if kept is not None:
-        windows = windows.unionByName(kept.join(entities, key, "left_anti"))
-    _write(windows, store, "windows", batch)
-    # One row per bucket: a small table by construction.
-    marks = spark.createDataFrame([(b, batch) for b in touched], "bucket int, version int")
-    marks.coalesce(1).write.mode("overwrite").parquet(f"{store.path}/versions/batch={batch}")
+    old = [tables.read(spark, r["days"]) for r in versions]
+    whole = not 0 < len(versions) <= MOST_LATE
+    kept, name = [], f"days_{batch}"
+    if not versions:
+        days = fresh
+    elif whole:
+        name = f"merged_{batch}"
+        merged = tables.write(merged_days(_union([*old, fresh]), key, measures), name, None)
+        days = merged.join(_entities(fresh, key), key, "left_semi")
+        kept = _windows(spark, store, versions, [*old, fresh])
+    else:
+        # A union keeps the buckets of its tables, a union of joins does not: a semi join would be
+        # planned for each table, an inner join (entities are distinct) is planned for their union.
+        days = merged_days(_union([*old, fresh]).join(_entities(fresh, key), key), key, measures)
+    windows = day_totals(days, key, measures, store.trailing_days, store.trailing)
+    tables.write(_union([windows, *kept]), f"windows_{batch}", None)
+    mark = spark.createDataFrame([(batch, whole, name)], "version int, whole boolean, days string")
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{store.path}/versions/batch={batch}")
     return touched
 
 
 def current_windows(spark: SparkSession, store: WindowStore) -> DataFrame:
     """The windows after all batches; raises if there is none yet."""
-    found = _read(spark, store, "windows", _versions(spark, store, None))
-    if found is None:
+    versions = _versions(spark, store, None)
+    if not versions:
         raise ValueError(f"no batch was applied to {store.path}")
-    return found
+    return _union(_windows(spark, store, versions, [store.tables.read(spark, r["days"]) for r in versions]))

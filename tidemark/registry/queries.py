@@ -303,7 +303,9 @@ def incremental_windows(spark: SparkSession, d: str) -> DataFrame:
 
     raw = standin.raw_tables(spark, d)
     spec = feature_plans.fact_spec(feature_plans.window_measures(SETTINGS))
-    store = maintenance.WindowStore(fresh_path(spark, "windows"), feature_plans.SNAPSHOTS, spec, SETTINGS.trailing_days)
+    store = maintenance.WindowStore(
+        fresh_path(spark, "windows"), feature_plans.SNAPSHOTS, spec, SETTINGS.trailing_days, buckets=standin.buckets(spark, d)
+    )
     late = (F.col("player_id") % 3 == 0) & (F.dayofyear("date") % 5 == 0)
     batch = F.when(late, F.dayofyear("date") % 2 + 1).otherwise(0)
     snapshots = feature_plans.valuation_snapshots(raw, SETTINGS).withColumn("_batch", batch)
