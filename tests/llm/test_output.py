@@ -147,6 +147,21 @@ def test_forgotten_pieces_are_learned_again(tokenizer, monkeypatch):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_looked_up_once(tokenizer, monkeypatch):
+    """Known pieces need no second lookup, and those of the old generation come back."""
+    known = token_output.Known(10)
+    known.old, known.young = {"a": b"1", "": b""}, {"b": b"2"}
+    assert known.values(["b", "a", "", "c"]) == ([b"2", b"1", b"", None], [3])
+    assert known.young == {"a": b"1", "b": b"2", "": b""} and known.missing(["a", "c", "d"]) == {"c", "d"}
+    encoder, asked = token_output.Encoder(tokenizer_path(), "<u2"), []
+    values = token_output.Known.values
+    monkeypatch.setattr(token_output.Known, "values", lambda self, some: (asked.append(len(some)), values(self, some))[1])
+    for _ in range(2):
+        asked.clear()
+        assert np.frombuffer(encoder.encode(["a bc bc"])[0], "<u2").tolist() == tokenizer.encode("a bc bc", add_special_tokens=False).ids
+    assert asked == [2, 1]  # all pieces, and "a" as one without a space; nothing is learned the second time
+
+
 def test_files_round_trip(spark, docs, tokenizer, monkeypatch):
     path = fresh_path(spark, "tokens")
     token_output.write_tokens(docs, path, tokenizer_path(), END_ID)

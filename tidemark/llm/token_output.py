@@ -77,15 +77,23 @@ class Known:
         self.old: dict[str, bytes] = {}
         self.most = most // 2
 
+    def values(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Their ids, None where unknown, and where that is; pieces of the old generation become young."""
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if old and gaps:
+            back = list(map(old.get, [pieces[i] for i in gaps]))
+            for i, v in zip(gaps, back, strict=True):
+                if v is not None:
+                    found[i] = young[pieces[i]] = v
+            gaps = [i for i, v in zip(gaps, back, strict=True) if v is None]
+        return found, gaps
+
     def missing(self, pieces) -> set[str]:
         """Which of the pieces are unknown; pieces of the old generation become young."""
-        out, young, old = set(), self.young, self.old
-        for p in pieces:
-            if p in old:
-                young[p] = old[p]
-            elif p not in young:
-                out.add(p)
-        return out
+        some = list(pieces)
+        return {some[i] for i in self.values(some)[1]}
 
     def grow_old(self) -> None:
         if len(self.young) > self.most:
@@ -93,9 +101,8 @@ class Known:
 
     def forget(self, pieces) -> None:
         """Long pieces are not worth their memory."""
-        for p in pieces:
-            if len(p) > _LONGEST_PIECE:
-                self.young.pop(p, None)
+        for p in [p for p in pieces if len(p) > _LONGEST_PIECE]:
+            self.young.pop(p, None)
 
 
 class Encoder:
@@ -150,19 +157,22 @@ class Encoder:
         """Adds the ids of unknown pieces, after a space and without one."""
         new, kinds = (set(), set()), (self.spaced, self.bare)
         made: list[tuple[int, str, list[str], str]] = []
+        marks = self.marks
         parted: tuple[set[str], set[str]] = (set(), set())
         for place, pieces in enumerate((spaced, bare)):
+            marked = [p for p in pieces if p[-1:] in marks and p[-2:-1].isalpha() and "\n" not in p]
+            stems = [p[:-1] for p in marked]
+            made += [(place, p, [stem], p[-1]) for p, stem in zip(marked, stems, strict=True)]
+            parted[place].update(stems)
             fresh = new[place]
-            for p in pieces:
-                if p[-1:] in self.marks and p[-2:-1].isalpha() and "\n" not in p:
-                    made.append((place, p, [p[:-1]], p[-1]))
-                    parted[place].add(p[:-1])
-                elif "\n" in p and _solid(parts := p.split("\n")):
+            fresh.update(pieces)
+            fresh.difference_update(marked)
+            for p in [p for p in fresh if "\n" in p]:
+                if _solid(parts := p.split("\n")):
                     made.append((place, p, parts, ""))
                     parted[place].add(parts[0])
                     parted[1].update(parts[1:])
-                else:
-                    fresh.add(p)
+                    fresh.discard(p)
         for place, before in ((0, " "), (1, "")):
             new[place].update(kinds[place].missing(parted[place]))
             self._encode_new(list(new[place]), kinds[place].young, before)
@@ -173,8 +183,8 @@ class Encoder:
             if len(parts) > 1:
                 value = self.line.join([value, *map(rest.__getitem__, parts[1:])])
             known[p] = value + self.marks[mark] if mark else value
-        self.spaced.forget(x for x in parted[0] if len(x) > _LONGEST_PIECE)
-        self.bare.forget(x for x in parted[1] if len(x) > _LONGEST_PIECE)
+        self.spaced.forget(parted[0])
+        self.bare.forget(parted[1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of each text."""
@@ -191,13 +201,17 @@ class Encoder:
         """Ids of pieces after a space and of pieces without one; of either, each is given once."""
         self.spaced.grow_old()
         self.bare.grow_old()
-        new, fresh = self.spaced.missing(spaced), self.bare.missing(bare)
+        # Each piece is looked up once, only those not known a second time.
+        (after, no_after), (alone, no_alone) = self.spaced.values(spaced), self.bare.values(bare)
+        new, fresh = {spaced[i] for i in no_after}, {bare[i] for i in no_alone}
         if new or fresh:
             self._learn(new, fresh)
-        found = [list(map(known.young.__getitem__, some)) for known, some in ((self.spaced, spaced), (self.bare, bare))]
+        for found, gaps, known, some in ((after, no_after, self.spaced, spaced), (alone, no_alone, self.bare, bare)):
+            for i in gaps:
+                found[i] = known.young[some[i]]
         self.spaced.forget(new)
         self.bare.forget(fresh)
-        return found[0], found[1]
+        return after, alone
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         """Texts whose pieces are what lies between single spaces: split and looked up by Arrow."""
