@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import calendar_tree as tree
 from tidemark.operators.intervals import FactSpec, SnapshotSpec, interval_totals
 from tidemark.plans import maintenance
+from tidemark.registry import standin
 from tidemark.sources.sinks import fresh_path
 from tidemark.streaming import counters, sketches
 from tidemark.streaming.jobs import read_stream, write_scores
@@ -65,6 +66,64 @@ def test_spans_are_not_broadcast(spark, facts):
     assert joins and all("SortMergeJoin" in line for line in joins)
 
 
+@pytest.mark.parametrize("top", [4, 8, 9, 15])
+def test_a_tree_holds_each_node_once_in_few_rows(spark, facts, top):
+    """Nodes with the same facts are one row: a day is in up to 16 nodes, and used to be as many rows."""
+    rows = tree.calendar_tree(spark.createDataFrame(facts, FACT_ROWS), facts_spec(), top).collect()
+    dated = [(f[0], (f[1] - dt.date(1970, 1, 1)).days, f) for f in facts if None not in f[:2]]
+    want = {}
+    for k, n, f in dated:
+        for level in range(top + 1):
+            want.setdefault((k, level, n >> level), []).append(f)
+    got = {}
+    for r in rows:
+        for level in range(r["low"], r["upto"] + 1):
+            node = (r["k"], level, r["at"] >> (level - r["low"]))
+            assert node not in got
+            got[node] = r
+            root, up = divmod(r["level_node"], 64)
+            assert up == (top if top <= 8 or level >= 8 else 8) and root == node[2] >> (up - level)
+    assert got.keys() == want.keys()
+    for node, r in got.items():
+        inside = want[node]
+        known = [f[3] for f in inside if f[3] is not None]
+        newest = max((f[1], f[2]) for f in inside)
+        assert (r["facts"], (r["newest"]["day"], r["newest"]["group"]), r["m"]) == (len(inside), newest, sum(known) if known else None)
+    days, blocks = {(k, n) for k, n, _ in dated}, {(k, n >> 8) for k, n, _ in dated}
+    assert len(rows) < 2 * len(days) + len(blocks)
+
+
+@pytest.mark.parametrize("top", [4, 8, 9, 15])
+def test_a_span_meets_the_subtrees_of_its_nodes(spark, top):
+    rng = random.Random(9)
+    ends = [tuple(sorted((rng.randrange(-700, 20000), rng.randrange(-700, 20000)))) for _ in range(200)]
+    ends += [(a, a + n) for a in range(250, 260) for n in (-3, 0, 1, 2, 5, 256, 257)] + [(-300, -1), (255, 767)]
+    rows = spark.createDataFrame([(day(a), day(b)) for a, b in ends] + [(None, day(1)), (day(1), None)], "lo date, hi date")
+    lo, hi = F.col("lo"), F.col("hi")
+    for r in rows.select(tree.nodes_of(lo, hi, top).alias("nodes"), tree.subtrees_of(lo, hi, top).alias("subtrees")).collect():
+        roots = [top if top <= 8 or n["level"] >= 8 else 8 for n in r["nodes"]]
+        assert len(r["subtrees"]) == len(set(r["subtrees"]))
+        assert set(r["subtrees"]) == {(n["node"] >> (up - n["level"])) * 64 + up for n, up in zip(r["nodes"], roots)}
+        assert top < 15 or len(r["subtrees"]) <= 4
+
+
+def test_a_stored_tree_is_not_shuffled_for_its_spans(spark, facts):
+    """Facts are dealt out once, with what blocks hold for the levels above, and the tree lies where its spans come to."""
+    rng = random.Random(10)
+    made = tree.calendar_tree(spark.createDataFrame(facts, FACT_ROWS), facts_spec(), parts=3)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    stored = standin.in_buckets(made, "tree", 3, "k", tree.SUBTREE)
+    assert len(stored.inputFiles()) <= 6
+    spans = [(rng.choice([1, 2, 3, 9, None]), *sorted((day(rng.randrange(-5, 12005)), day(rng.randrange(-5, 12005))))) for _ in range(90)]
+    got = tree.totals_from_tree(spark.createDataFrame(spans * 2, "k bigint, lo date, hi date"), "k", "lo", "hi", stored, ["m"], parts=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    found = got.collect()
+    assert len(found) == len(set(spans))
+    for r in found:
+        assert (r["facts"], r["group"], r["m"]) == slow_totals(facts, r["k"], r["lo"], r["hi"]), r
+
+
 def test_nodes_part_a_span_into_few_pieces(spark):
     rng = random.Random(4)
     ends = [tuple(sorted((rng.randrange(-40, 20000), rng.randrange(-40, 20000)))) for _ in range(300)] + [(3, 3), (0, 1)]

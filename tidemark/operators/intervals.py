@@ -53,9 +53,12 @@ def consecutive_pairs(snapshots: DataFrame, spec: SnapshotSpec) -> DataFrame:
     )
 
 
-def daily_totals(facts: DataFrame, spec: FactSpec) -> DataFrame:
-    """Facts summed per (entity, day): row count, newest group, sum of each measure."""
-    return facts.groupBy(F.col(spec.key), F.col(spec.date).alias("day")).agg(
+def daily_totals(facts: DataFrame, spec: FactSpec, *of_day: str) -> DataFrame:
+    """Facts summed per (entity, day): row count, newest group, sum of each measure.
+
+    ``of_day`` are columns that follow from entity and day and are kept.
+    """
+    return facts.groupBy(F.col(spec.key), *of_day, F.col(spec.date).alias("day")).agg(
         F.count(F.lit(1)).alias("facts"),
         F.max(spec.group).alias("group"),
         *[F.sum(expr).alias(name) for name, expr in spec.measures.items()],

@@ -17,7 +17,7 @@ from tidemark.functions.numeric import (
     whole_parts,
 )
 from tidemark.functions.text import capitalize, matches_whole
-from tidemark.operators.calendar_tree import calendar_tree, totals_from_tree
+from tidemark.operators.calendar_tree import SUBTREE, calendar_tree, totals_from_tree
 from tidemark.operators import drift, evaluation, importance, latest, period_counts, preprocessing, quality, scoring, split, wide_one_hot, write_checks
 from tidemark.operators.history import history_from_features, snapshot_history
 from tidemark.operators.intervals import (
@@ -284,13 +284,22 @@ def trailing_totals(spark: SparkSession, d: str) -> DataFrame:
        GROUP BY ALL""",
 )
 def calendar_tree_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping spans of a month to eleven years, one per valuation, from a stored tree."""
-    raw = standin.raw_tables(spark, d)
+    """Overlapping spans of a month to eleven years, one per valuation, from a stored tree.
+
+    Few columns of facts and snapshots are needed, so the plain tables are read; the tree is
+    stored in buckets by entity and subtree, where its spans come to it.
+    """
+    raw, parts = standin.raw_tables(spark, d).plain, standin.buckets(spark, d)
     spec = feature_plans.fact_spec({"minutes": F.col("minutes_played"), "goals": F.col("goals")})
     days = (30 + F.col("market_value_in_eur") % 4000).cast("int")
     spans = raw.valuations.select("player_id", F.date_sub("date", days).alias("low"), F.col("date").alias("high"))
-    tree = standin.staged(spark, d, "calendar_tree", lambda: calendar_tree(raw.appearances, spec))
-    return totals_from_tree(spans, "player_id", "low", "high", tree, list(spec.measures))
+    facts = raw.appearances.select("player_id", "date", "player_club_id", "minutes_played", "goals")
+
+    def make() -> DataFrame:
+        return standin.in_buckets(calendar_tree(facts, spec, parts=parts), "calendar_tree", parts, "player_id", SUBTREE)
+
+    tree = standin.once(spark, d, "calendar_tree", make)
+    return totals_from_tree(spans, "player_id", "low", "high", tree, list(spec.measures), parts=parts)
 
 
 @query("incremental_windows", SQL["interval_totals"])

@@ -170,10 +170,15 @@ class StagedTables:
 
 def by_entity(df: DataFrame, name: str, parts: int) -> DataFrame:
     """df written in buckets by entity; null entities share one."""
+    return in_buckets(df.repartition(parts, "player_id"), name, parts, "player_id")
+
+
+def in_buckets(df: DataFrame, name: str, parts: int, *by: str) -> DataFrame:
+    """df, which lies in that many parts by these columns, written as buckets."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     entry = f"tidemark_{uuid.uuid4().hex}"
-    writer = df.repartition(parts, "player_id").write.format("parquet").bucketBy(parts, "player_id")
+    writer = df.write.format("parquet").bucketBy(parts, *by)
     writer.option("path", path).saveAsTable(entry)
     return spark.table(entry)
 
